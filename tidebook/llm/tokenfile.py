@@ -159,7 +159,7 @@ def write_shards(docs: DataFrame, scratch: Scratch, name: str = "shards", vocabu
                 part = batch.slice(k, 64)
                 if writer is None:
                     store.create_dir(at, recursive=True)
-                    out = store.open_output_stream(path)
+                    out = store.open_output_stream(path, compression=None)
                     writer = ShardWriter(out)
                 for doc, ids in zip(part["doc_id"].to_pylist(), encode(part["text"].to_pylist())):
                     writer.add(doc, ids)

@@ -37,7 +37,7 @@ class BundleWriter:
     """Writes records into frames; memory holds one frame and the seek table."""
 
     def __init__(self, out, frame: int = FRAME, level: int = 3):
-        self.out, self.frame, self.zstd = out, frame, zstandard.ZstdCompressor(level=level)
+        self.out, self.frame, self.zstd = out, frame, zstandard.ZstdCompressor(level=level, write_content_size=True)
         self.held, self.size, self.table, self.written = [], 0, [], 0
 
     def add(self, record: bytes) -> tuple[int, int]:
@@ -82,7 +82,10 @@ class BundleReader:
         self.zstd = zstandard.ZstdDecompressor()
 
     def frame(self, k: int) -> bytes:
-        return self.zstd.decompress(self.file.read_at(self.sizes[k][0], self.starts[k]), max_output_size=self.sizes[k][1])
+        data = self.zstd.decompressobj().decompress(self.file.read_at(self.sizes[k][0], self.starts[k]))
+        if len(data) != self.sizes[k][1]:
+            raise ValueError("a frame is not as long as the seek table says")
+        return data
 
 
 def record_id(page_id: int | None) -> str:
@@ -150,7 +153,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, name: str = "warc") -> Da
                     store, at = fs.FileSystem.from_uri(root)
                     store.create_dir(at, recursive=True)
                     file = f"{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.warc.zst"
-                    out = store.open_output_stream(f"{at}/{file}")
+                    out = store.open_output_stream(f"{at}/{file}", compression=None)
                     writer = BundleWriter(out)
                 rows = []
                 for row in part.to_pylist():
