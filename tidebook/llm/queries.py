@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import mixing, packing, simhash, tokenfile, warc
+from tidebook.llm import embeddings, mixing, packing, simhash, tokenfile, warc
 from tidebook.llm.common import Scratch
 
 
@@ -30,10 +30,14 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_shards(tokenfile.write_shards(table(spark, sf_dir, "documents"), Scratch(spark, "op6")))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "op8"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op9"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_best_fit_packing, op5_warc_bundles, op6_token_ids, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_best_fit_packing, op5_warc_bundles, op6_token_ids, op8_embedding_near_dedup, op9_source_mixing)}
 SQL: dict[str, str] = {}
