@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import embeddings, mixing, packing, simhash, tokenfile, warc
+from tidebook.llm import embeddings, mixing, packing, simhash, tokenfile, toxicity, warc
 from tidebook.llm.common import Scratch
 
 
@@ -13,6 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out() -> Column:
+    """Rows whose labels no training sees."""
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(labels.where(~held_out()), docs, Scratch(spark, "op1"))
+    out = toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score")
+    return out.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -39,5 +51,5 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_best_fit_packing, op5_warc_bundles, op6_token_ids, op8_embedding_near_dedup, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op4_best_fit_packing, op5_warc_bundles, op6_token_ids, op8_embedding_near_dedup, op9_source_mixing)}
 SQL: dict[str, str] = {}
