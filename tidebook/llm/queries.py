@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import embeddings, mixing, packing, simhash, tokenfile, toxicity, warc
+from tidebook.llm import embeddings, mixing, packing, pii, simhash, tokenfile, toxicity, warc
 from tidebook.llm.common import Scratch
 
 
@@ -42,6 +42,14 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_shards(tokenfile.write_shards(table(spark, sf_dir, "documents"), Scratch(spark, "op6")))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts are of the base spans, which base_sha256 digests; spans holds those and the added ones."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), *pii.train(spark))
+    kinds = F.transform("base", lambda x: x["k"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("found")).alias("spans"))
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "op8"))
 
@@ -51,5 +59,5 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op4_best_fit_packing, op5_warc_bundles, op6_token_ids, op8_embedding_near_dedup, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op4_best_fit_packing, op5_warc_bundles, op6_token_ids, op7_personal_data, op8_embedding_near_dedup, op9_source_mixing)}
 SQL: dict[str, str] = {}
