@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import embeddings, mixing, packing, pii, simhash, tokenfile, toxicity, warc
+from tidebook.llm import embeddings, linededup, mixing, packing, pii, simhash, tokenfile, toxicity, warc
 from tidebook.llm.common import Scratch
 
 
@@ -30,6 +30,15 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = linededup.deduplicate(docs, Scratch(spark, "op3"))
+    lines = F.aggregate("removed", F.lit(0), lambda a, x: a + x["end"] - x["start"])
+    words = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+    ranges = F.array_join(F.transform("removed", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", lines.cast("long").alias("removed_lines"), words.alias("removed_words"), ranges.alias("removed"), "text")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
 
@@ -59,5 +68,5 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op4_best_fit_packing, op5_warc_bundles, op6_token_ids, op7_personal_data, op8_embedding_near_dedup, op9_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_line_dedup, op4_best_fit_packing, op5_warc_bundles, op6_token_ids, op7_personal_data, op8_embedding_near_dedup, op9_source_mixing)}
 SQL: dict[str, str] = {}
