@@ -120,13 +120,14 @@ def mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (3, 1, 2),
 
 def apply_mix(docs: DataFrame, scratch: Scratch, **parameters) -> DataFrame:
     """The documents themselves, each as many times as the mix takes it."""
-    copies = mix(docs, scratch, **parameters).where("copies > 0")
     keys = ["doc_id", "source", "text_hash"]
-    same = Window.partitionBy(*keys).orderBy(F.lit(1))  # repeated rows, told apart by number
-    left = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("__n", F.row_number().over(same))
-    right = copies.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("copies")))
-    right = right.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__n").alias("__m"), "copies")
-    on = F.col("__n") == F.col("__m")
+    copies = mix(docs, scratch, **parameters).groupBy(*keys).agg(F.sum("copies").alias("__total"), F.count("*").alias("__rows"))
+    right = copies.select(*[F.col(k).alias(f"__{k}") for k in keys], "__total", "__rows").hint("merge")
+    left = docs.withColumn("text_hash", F.xxhash64("text"))
+    on = F.lit(True)
     for k in keys:
         on &= F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return left.join(right, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    same = Window.partitionBy(*keys).orderBy(F.lit(1))  # rows equal in all keys share their copies out by number
+    each = F.expr("__total div __rows") + F.when(F.col("__n") <= F.col("__total") % F.col("__rows"), 1).otherwise(0)
+    out = left.join(right, on).withColumn("__n", F.row_number().over(same)).withColumn("__each", each).where("__each > 0")
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__each")))).select(*[F.col(c) for c in docs.columns])
