@@ -86,7 +86,7 @@ def deduplicate(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -
     key = docs.withColumns({"__k": F.coalesce("doc_id", F.lit(LEAST_LONG)).cast("long"), "__t": F.xxhash64("text")})
     again = scratch.spark.read.parquet(scratch.path("lines")).where("pos = 0").groupBy("d", "text_hash").count().where("count > 1")
     none = F.array().cast("array<struct<start:int,end:int,words:bigint>>")
-    out = key.join(by_doc, (F.col("__k") == F.col("__d")) & (F.col("__t") == F.col("__h")), "left")
+    out = key.join(by_doc.hint("merge"), (F.col("__k") == F.col("__d")) & (F.col("__t") == F.col("__h")), "left")
     out = out.withColumn("__removed", F.coalesce("__removed", none))
     if not again.isEmpty():
         number = F.row_number().over(Window.partitionBy("__k", "__t").orderBy(F.lit(1)))
