@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook.llm import embeddings, linededup, mixing, packing, pii, simhash, tokenfile, toxicity, warc
+from tidebook.llm import embeddings, linededup, media, mixing, packing, pii, simhash, tokenfile, toxicity, warc
 from tidebook.llm.common import Scratch
 
 
@@ -68,5 +68,10 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_line_dedup, op4_best_fit_packing, op5_warc_bundles, op6_token_ids, op7_personal_data, op8_embedding_near_dedup, op9_source_mixing)}
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no media: the query makes a picture of every row of embeddings, and edited copies of every twentieth."""
+    return media.copies(media.pictures(table(spark, sf_dir, "embeddings")), Scratch(spark, "op10"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_line_dedup, op4_best_fit_packing, op5_warc_bundles, op6_token_ids, op7_personal_data, op8_embedding_near_dedup, op9_source_mixing, op10_image_copies)}
 SQL: dict[str, str] = {}
