@@ -1 +1,10 @@
 """Market-depth analytics on Spark."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+
+def find_here(spark) -> None:
+    """Let Python workers find this package where the driver does, unless the session says otherwise."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebook import find_here
 from tidebook.functions import codec, hashes
 from tidebook.functions.metrics import Metric, cumulative_levels, measure
 from tidebook.operators import book as books
@@ -51,6 +52,7 @@ def wide(df: DataFrame) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    find_here(spark)
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
