@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebook import find_here
+
 #: A word is a run of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,8 +32,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        # Python workers find this package where the driver does, unless the session says otherwise
-        spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+        find_here(spark)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

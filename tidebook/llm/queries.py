@@ -70,7 +70,8 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no media: the query makes a picture of every row of embeddings, and edited copies of every twentieth."""
-    return media.copies(media.pictures(table(spark, sf_dir, "embeddings")), Scratch(spark, "op10"))
+    scratch = Scratch(spark, "op10")
+    return media.copies(media.pictures(table(spark, sf_dir, "embeddings")), scratch)
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash_near_dedup, op3_line_dedup, op4_best_fit_packing, op5_warc_bundles, op6_token_ids, op7_personal_data, op8_embedding_near_dedup, op9_source_mixing, op10_image_copies)}
