@@ -33,6 +33,8 @@ SAMPLE = 6000
 THRESHOLD = 0.7
 ROUNDS = 200
 PENALTY = 10.0
+#: Rows that a training step goes through at once.
+CHUNK = 1000
 #: Bytes hashed at once; longer texts go piece by piece, overlapping by the longest n-gram.
 PIECE = 1 << 16
 
@@ -87,26 +89,35 @@ def document_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
         if sum(n):
             yield pa.RecordBatch.from_pydict({"n0": [n[0]], "n1": [n[1]], "c": [found.tobytes()]})
 
-    total, n = np.zeros((2, 1 << WIDTH), np.int64), np.zeros(2, np.int64)
+    total, n = np.zeros((2, 1 << WIDTH), np.int32), np.zeros(2, np.int64)
     for row in sample.mapInArrow(run, "n0 long, n1 long, c binary").toLocalIterator():
         total += np.frombuffer(row["c"], np.uint16).reshape(2, -1)
         n += [row["n0"], row["n1"]]
     return total[1], total[0], n
 
 
-def logistic(rows: np.ndarray, features: np.ndarray, scale: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights of the scaled features by adaptive gradient steps, both classes weighing the same."""
+def logistic(lists: list[np.ndarray], scale: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the scaled features by adaptive gradient steps, both classes weighing the same.
+
+    ``lists`` holds each row's features: a step goes through CHUNK rows at once.
+    """
     n, w, b = len(labels), np.zeros(len(scale)), 0.0
     each = np.where(labels == 1, 0.5 / max(labels.sum(), 1), 0.5 / max((1 - labels).sum(), 1))
     gw, gb = np.full(len(scale), 1e-8), 1e-8
+    parts = [(k, np.concatenate(lists[k : k + CHUNK]), np.repeat(np.arange(len(lists[k : k + CHUNK]), dtype=np.int32), [len(x) for x in lists[k : k + CHUNK]])) for k in range(0, n, CHUNK)]
     for _ in range(ROUNDS):
-        s = np.bincount(rows, weights=(w * scale)[features], minlength=n) + b
-        e = (1 / (1 + np.exp(-s)) - labels) * each
-        g = np.bincount(features, weights=e[rows], minlength=len(scale)) * scale + w * PENALTY / n
+        ws, g, total = w * scale, np.zeros(len(scale)), 0.0
+        for k, features, rows in parts:
+            m = min(CHUNK, n - k)
+            s = np.bincount(rows, weights=ws[features], minlength=m) + b
+            e = (1 / (1 + np.exp(-s)) - labels[k : k + m]) * each[k : k + m]
+            g += np.bincount(features, weights=e[rows], minlength=len(scale))
+            total += e.sum()
+        g = g * scale + w * PENALTY / n
         gw += g * g
         w -= 0.1 * g / np.sqrt(gw)
-        gb += e.sum() ** 2
-        b -= 0.1 * e.sum() / np.sqrt(gb)
+        gb += total * total
+        b -= 0.1 * total / np.sqrt(gb)
     return w, b
 
 
@@ -127,13 +138,15 @@ def train(labelled: DataFrame, docs: DataFrame, scratch: Scratch, most: int = SA
     place = np.full(1 << WIDTH, FEATURES, np.uint16)
     if not n.all():
         return Model(place, np.zeros(FEATURES + 1), 50.0 if n[1] else -50.0)
-    ratio = np.log((toxic + 1) / (n[1] + 2)) - np.log((other + 1) / (n[0] + 2))
+    often = np.nonzero(toxic + other > 1)[0]
+    toxic, other = toxic[often], other[often]
     share = (toxic + other) / n.sum()
-    z = (toxic / n[1] - other / n[0]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-12) * (toxic + other > 1)
-    chosen = np.argsort(-z, kind="stable")[:FEATURES]
-    chosen = chosen[z[chosen] >= min(LEAST_Z, z[chosen[255]])]  # from few texts nothing may be that significant
+    z = (toxic / n[1] - other / n[0]) / np.sqrt(share * (1 - share) * (1 / n[0] + 1 / n[1]) + 1e-12)
+    best = np.argsort(-z, kind="stable")[:FEATURES]
+    best = best[z[best] >= min(LEAST_Z, z[best[:256]].min(initial=LEAST_Z))]  # from few texts nothing may be that significant
+    chosen = often[best]
     place[chosen] = np.arange(len(chosen))
-    scale = ratio[chosen]
+    scale = np.log((toxic[best] + 1) / (n[1] + 2)) - np.log((other[best] + 1) / (n[0] + 2))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,8 +160,7 @@ def train(labelled: DataFrame, docs: DataFrame, scratch: Scratch, most: int = SA
 
     got = sample.mapInArrow(features, "toxic int, f binary").collect()  # at most 2 * most rows of FEATURES bits
     lists = [np.frombuffer(r["f"], np.uint16) for r in got]
-    rows = np.repeat(np.arange(len(got)), [len(x) for x in lists])
-    w, b = logistic(rows, np.concatenate(lists).astype(np.int64), scale, np.array([r["toxic"] for r in got]))
+    w, b = logistic(lists, scale, np.array([r["toxic"] for r in got]))
     return Model(place, np.append(w * scale, np.zeros(FEATURES + 1 - len(scale))), float(b))
 
 
