@@ -29,7 +29,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SEGMENTS, BITS, FLIPS = 10, 24, 6
 FAR = 28
-CROWD = 64
+CROWD = 16
 BLOCK = 256
 
 
