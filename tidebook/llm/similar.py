@@ -100,20 +100,24 @@ def meet(distinct: DataFrame, scratch: Scratch) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), *each)], names=["key", "cid", "low", "high"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held = known = None
         for batch in batches:
             new = [batch[c].to_numpy() for c in ("key", "cid", "low", "high")]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
+            if cut == 0 and len(held[0]) > CROWD:
+                known, cut = held[0][-1], len(held[0])  # crowded already: its rows need not wait for its end
             if cut:
-                yield of([x[:cut] for x in held])
-                held = [x[cut:] for x in held]
+                yield of([x[:cut] for x in held], known)
+                held = [x[cut:] for x in held] if cut < len(held[0]) else None
         if held is not None:
-            yield of(held)
+            yield of(held, known)
 
-    def of(rows: list[np.ndarray]) -> pa.RecordBatch:
+    def of(rows: list[np.ndarray], known: int | None) -> pa.RecordBatch:
         key, cid, low, high = rows
         size = np.repeat(n := np.diff(np.append(np.nonzero(np.diff(key, prepend=key[0] - 1))[0], len(key))), n)
+        if known is not None:
+            size[key == known] = CROWD + 1
         some = (size > 1) & (size <= CROWD)
         crowd_at = np.nonzero(size > CROWD)[0]
         key, a, low, high = key[some], cid[some], low[some], high[some]
