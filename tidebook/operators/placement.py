@@ -75,9 +75,6 @@ def rebalance(current: DataFrame, ring: Ring, pinned: DataFrame) -> DataFrame:
     return reassign(current, ring).join(pinned.select("symbol_key"), "symbol_key", "left_anti")
 
 
-STATES = ("ACTIVE", "DRAINING", "JOINING", "DOWN")
-
-
 def shard_map_json(version: int, assignments: Mapping[str, str], shards: Mapping[str, Mapping], pinned: list[str] = (), migrations: list[Mapping] = ()) -> str:
     """A shard map as JSON with sorted names."""
     return json.dumps({"active_migrations": list(migrations), "assignments": dict(assignments), "pinned_symbols": sorted(pinned), "shards": {k: dict(v) for k, v in shards.items()}, "version": version}, sort_keys=True, separators=(",", ":"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from tidebook.operators import book as books
 from tidebook.operators import storage
 from tidebook.plans import planner
 from tidebook.plans.dialect import parse
-from tidebook.schema import DELTA, FLAT, LONG_MAX, MAX_LEVELS, TidebookError, flatten
+from tidebook.schema import DELTA, FLAT, LONG_MAX, MAX_LEVELS, TidebookError, bucket, flatten
 from tidebook.sources import readers, writers
 
 
@@ -75,8 +76,6 @@ class Store:
             return fresh if fresh is not None else self.spark.createDataFrame([], FLAT)
         if fresh is None:
             return stored
-        from tidebook.schema import bucket
-
         return stored.unionByName(fresh.withColumn("segment", bucket()))
 
     def query(self, sql: str, strict: bool = True) -> DataFrame:
@@ -88,8 +87,6 @@ class Store:
 
     def query_many(self, sql: str, keys: Sequence[tuple[str, str]]) -> DataFrame:
         """One SELECT over several books, rows of all by time."""
-        from dataclasses import replace
-
         q, out = parse(sql), None
         for symbol, exchange in keys:
             part = planner.plan(replace(q, symbol=symbol, exchange=exchange), self.rows()).withColumns({"symbol": F.lit(symbol), "exchange": F.lit(exchange)})
