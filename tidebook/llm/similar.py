@@ -207,13 +207,14 @@ def groups(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, similarity: f
     distinct = scratch.write(found.groupBy("cid").agg(F.min_by(F.struct("low", "high", "keys"), F.struct("doc_id", "text_hash")).alias("p"),
                                                       F.min(F.struct("doc_id", "text_hash")).alias("f")).select("cid", "p.*", F.col("f.doc_id").alias("doc_id"), F.col("f.text_hash").alias("text_hash")), "distinct")
     met = meet(distinct, scratch)
-    needed = met.select(F.explode(F.array("a", "b")).alias("cid")).where("cid is not null").distinct()
+    pairs = scratch.write(met.where("b is not null").select("a", "b").distinct(), "pairs")
+    crowd = met.where("key is not null").select("key", F.col("a").alias("cid"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(crowd.select("cid")).distinct()
     needed = scratch.write(needed.join(distinct.select("cid", "doc_id", "text_hash"), "cid"), "needed")
     keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
     texts = keyed.join(needed.hint("merge"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
     sets = scratch.write(sets_of(texts, size).dropDuplicates(["cid"]), "sets")
-    edges = verified(met.where("b is not null").select("a", "b").distinct(), sets, similarity)
-    crowd = met.where("key is not null").select("key", F.col("a").alias("cid"))
+    edges = verified(pairs, sets, similarity)
     if not crowd.isEmpty():
         edges = edges.union(crowded_links(crowd.join(sets, "cid"), similarity))
     roots = components(scratch.write(edges, "edges"), scratch)
