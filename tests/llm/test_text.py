@@ -112,6 +112,23 @@ def test_similar_documents(spark, scratch, docs_of, crowd, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {min(i for i in got if got[i] == g) for g in set(got.values())}
 
 
+def test_pairs_at_the_threshold_are_all_found(scratch, docs_of):
+    rng, texts = random.Random(4), []
+    for k in range(300):  # 400 words, and a copy with nine words replaced, two of them close: Jaccard 0.80 to 0.81
+        words = [f"w{k}x{rng.randrange(10**6)}" for _ in range(400)]
+        texts.append(" ".join(words))
+        for at in rng.sample(range(0, 40), 8):
+            words[10 * at] = f"new{k}x{rng.randrange(10**6)}"
+        words[10 * at + 4] = f"new{k}x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    pairs = [(2 * k, 2 * k + 1) for k in range(300)]
+    sets = [similar.shingles(t, 5) for t in texts]
+    close = [(a, b) for a, b in pairs if 0.8 <= len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) < 0.85]
+    got = {r["doc_id"]: r["root"] for r in similar.groups(docs_of(texts), scratch).collect()}
+    found = sum(got[a] == got[b] for a, b in close)
+    assert len(close) >= 250 and found == len(close), (found, len(close))
+
+
 def test_similar_edges(spark, scratch, docs_of):
     assert similar.keep_one(docs_of([]), scratch).count() == 0
     twice = docs_of(["p q r s t u"] * 3, [1, 1, None])

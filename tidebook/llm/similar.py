@@ -7,6 +7,11 @@ tie, which are those that a small edit turns. Both sides enumerate, so two texts
 they differ in at most two such bits. Texts that meet and whose first 128 bits differ in at most
 FAR are candidates, and the similarity of every candidate pair is verified on whole shingle sets.
 
+That search misses some pairs near the similarity asked for. So texts that it left in different
+groups go through an exact join: sets in the order of their hashes that are similar enough share one
+of their first few hashes, and where that is the first they share, its places bound how much they
+differ. Candidates that the bound leaves are verified too; so no pair is lost.
+
 A table entry that more than CROWD texts share emits no pairs: its texts are compared block by
 block on their shingle sets, and only links that join parts not joined before leave the task.
 """
@@ -31,6 +36,8 @@ SEGMENTS, BITS, FLIPS = 10, 24, 6
 FAR = 28
 CROWD = 16
 BLOCK = 256
+#: Texts of a long entry of the exact join that are compared with all others at a time.
+STRIP = 256
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -195,6 +202,117 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def heads(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """cid, n (shingles), head (the first hashes of the set, one of which every set similar enough shares) and parity.
+
+    ``parity`` tells of each value of the hashes' last bits whether an odd number of hashes has it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = []
+                for text in batch.slice(at, 256)["text"].to_pylist():
+                    found = shingles(text, size)
+                    n = len(found)
+                    most = min(n, n - int(np.ceil(similarity * n * (1 - 1e-9))) + 1)
+                    width = 1 << max(6, (n - 1).bit_length())
+                    odd = np.bincount((found & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+                    rows.append((xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63), n, found[:most].tobytes(), np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["cid", "n", "head", "parity"])
+
+    return docs.select("text").mapInArrow(run, "cid long, n int, head binary, parity binary").dropDuplicates(["cid"])
+
+
+def near_enough(differ: np.ndarray, both: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of ``both`` hashes together may be similar enough if at least ``differ`` are in one of them only."""
+    return differ * (1 + similarity) <= both * ((1 - similarity) * (1 + 1e-9))
+
+
+def may_reach(n: np.ndarray, at: np.ndarray, m: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m hashes may be similar enough if the first they share is at these places."""
+    return near_enough(at + other + np.abs((n - at) - (m - other)), n + m, similarity)
+
+
+def even(pairs: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose parities do not show that they differ too much; each odd value is a hash of one set only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differ = []
+            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
+                least = min(len(x), len(y))
+                x, y = [np.bitwise_xor.reduce(np.frombuffer(v, np.uint8).reshape(-1, least), axis=0) for v in (x, y)]
+                differ.append(int(np.bitwise_count(x ^ y).sum()))
+            good = near_enough(np.array(differ, np.int64), batch["both"].to_numpy(), similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left = pairs.join(first.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("parity").alias("x")), "a")
+    both = left.join(first.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("y")), "b")
+    return both.select("a", "b", (F.col("na").cast("long") + F.col("nb")).alias("both"), "x", "y").mapInArrow(run, "a long, b long")
+
+
+def apart(first: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Every pair (a, b) of cids with different roots that may be similar enough by its heads; ``roots`` has cid, root."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                own = [np.frombuffer(x, "<i8") for x in batch["head"].to_pylist()]
+                counts = [len(x) for x in own]
+                if sum(counts):
+                    each = [np.repeat(batch[c].to_numpy(), counts) for c in ("cid", "root", "n")]
+                    at = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(own), *each, at)], names=["key", "cid", "root", "n", "at"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # rows of the last key, which may go on
+        for batch in batches:
+            new = [batch[c].to_numpy() for c in ("key", "cid", "root", "n", "at")]
+            if not len(new[0]):
+                continue
+            cut = int(np.searchsorted(new[0], new[0][-1]))
+            if held and held[0][0][0] != new[0][-1]:
+                yield from of([np.concatenate(x) for x in zip(*held, [x[:cut] for x in new])])
+                held = []
+            elif not held and cut:
+                yield from of([x[:cut] for x in new])
+            held.append([x[cut:] for x in new])
+        if held:
+            yield from of([np.concatenate(x) for x in zip(*held)])
+
+    def of(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        starts = np.nonzero(np.diff(rows[0], prepend=rows[0][0] - 1))[0]
+        counts = np.diff(np.append(starts, len(rows[0])))
+        size = np.repeat(counts, counts)
+        key, cid, root, n, at = [x[(size > 1) & (size <= CROWD)] for x in rows]
+        n, at, out, d = n.astype(np.int64), at.astype(np.int64), [], 1
+        while d < len(key) and (same := key[d:] == key[:-d]).any():
+            i = np.nonzero(same & (root[d:] != root[:-d]))[0]
+            i = i[may_reach(n[i], at[i], n[i + d], at[i + d], similarity)]
+            out.append(np.stack([cid[i], cid[i + d]], 1))
+            d += 1
+        yield batch_of(out)
+        for start, count in zip(starts[counts > CROWD].tolist(), counts[counts > CROWD].tolist()):
+            cid, root, n, at = [x[start : start + count] for x in rows[1:]]
+            if (root == root[0]).all():
+                continue
+            n, at = n.astype(np.int64), at.astype(np.int64)
+            for a in range(0, count, STRIP):
+                b = slice(a, a + STRIP)
+                i, j = np.nonzero((root[b, None] != root[None, a:]) & may_reach(n[b, None], at[b, None], n[None, a:], at[None, a:], similarity))
+                yield batch_of([np.stack([cid[a + i], cid[a + j]], 1)])
+
+    def batch_of(out: list[np.ndarray]) -> pa.RecordBatch:
+        got = np.sort(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=1)
+        got = np.unique(got, axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
+
+    rows = first.join(roots, "cid").select("cid", "root", "n", "head").mapInArrow(entries, "key long, cid long, root long, n int, at int")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct()
+
+
 def groups(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash and root (equal within a group of near duplicates) of every row.
 
@@ -209,16 +327,30 @@ def groups(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, similarity: f
     met = meet(distinct, scratch)
     pairs = scratch.write(met.where("b is not null").select("a", "b").distinct(), "pairs")
     crowd = met.where("key is not null").select("key", F.col("a").alias("cid"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(crowd.select("cid")).distinct()
-    needed = scratch.write(needed.join(distinct.select("cid", "doc_id", "text_hash"), "cid"), "needed")
     keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
-    texts = keyed.join(needed.hint("merge"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
-    sets = scratch.write(sets_of(texts, size).dropDuplicates(["cid"]), "sets")
+
+    def sets_for(cids: DataFrame, name: str) -> DataFrame:
+        needed = scratch.write(cids.distinct().join(distinct.select("cid", "doc_id", "text_hash"), "cid"), f"needed{name}")
+        texts = keyed.join(needed.hint("merge"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
+        return scratch.write(sets_of(texts, size).dropDuplicates(["cid"]), f"sets{name}")
+
+    sets = sets_for(pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(crowd.select("cid")), "")
     edges = verified(pairs, sets, similarity)
     if not crowd.isEmpty():
         edges = edges.union(crowded_links(crowd.join(sets, "cid"), similarity))
     roots = components(scratch.write(edges, "edges"), scratch)
     roots = scratch.write(distinct.select("cid").join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root")), "roots")
+    for name in ("meet", "pairs", "needed", "sets", "edges"):
+        scratch.drop(name)
+    first = scratch.write(heads(docs, size, similarity), "heads")
+    others = scratch.write(even(scratch.write(apart(first, roots, similarity), "apart"), first, similarity), "others")
+    scratch.drop("heads")
+    if not others.isEmpty():
+        late = verified(others, sets_for(others.select(F.explode(F.array("a", "b")).alias("cid")), "-others"), similarity)
+        late = late.join(roots.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b")
+        top = components(scratch.write(late.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "late"), scratch, "cc-late")
+        top = top.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        roots = scratch.write(roots.join(top, "root", "left").select("cid", F.coalesce("top", "root").alias("root")), "roots-late")
     return found.select("doc_id", "text_hash", "cid").join(roots, "cid").select("doc_id", "text_hash", "root")
 
 
