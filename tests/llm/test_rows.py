@@ -254,6 +254,16 @@ def test_image_copies(spark, scratch, monkeypatch, crowd):
     assert media.copies(spark.createDataFrame([], "image_id long, content binary"), scratch).count() == 0
 
 
+def test_links_of_more_copies_than_crowd(spark, scratch):
+    p = media.picture(np.arange(8, dtype="f4"))
+    rows = [(i, media.encode_pgm(p * 0.6 + 0.5 * i)) for i in range(media.CROWD + 6)]
+    got = media.copies(spark.createDataFrame(rows, "image_id long, content binary"), scratch).collect()
+    found = [np.concatenate(media.corners(media.decode(c)[None])) for _, c in rows]
+    links = {i: sum(i != j and media.agree(found[min(i, j)], found[max(i, j)]) >= media.INLIERS for j in range(len(rows))) for i in range(len(rows))}
+    assert {r["image_id"]: r["n_links"] for r in got} == links and min(links.values()) > 60
+    assert {r["component_id"] for r in got} == {0}
+
+
 def png(pixels, kind):
     import struct
 
