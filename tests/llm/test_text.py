@@ -216,6 +216,12 @@ def test_added_spans(spark, docs_of, model):
     assert rows == {0: "mail me: [email] now", 1: "host [ip] or call [phone] ok", 2: texts[2], 3: "[email] and [ip]", 4: None}
 
 
+@pytest.mark.parametrize("form", ["jane(@)example.com", "jane[@]example.com", "jane@example [dot] com", "jane@example(dot)com", "jane@example dot com", "jane [ at ] example.com"])
+def test_every_form_of_address_is_found_alone(spark, docs_of, model, form):
+    rows = {r["doc_id"]: r["text"] for r in pii.redact(docs_of([f"contact {form}", f"Kontakt: {form}", f"contact {form} at noon"]), *model).collect()}
+    assert rows == {0: "contact [email]", 1: "Kontakt: [email]", 2: "contact [email] at noon"}
+
+
 def test_trees_separate_unseen_examples(spark, model):
     made = pii.examples(600, seed=99)
     text = pii.F.explode(pii.F.split(pii.F.lit("\n".join(f"{y}{t}" for t, y in made)), "\n"))

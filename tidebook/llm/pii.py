@@ -38,7 +38,7 @@ WIDE = {
     "card": r"(?<![0-9])[0-9]{4}+(?:[\x20./_-]{0,2}[0-9]{3,6}+){2,4}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z.])(?:\([0-9]{2,4}\)|[0-9]{2,5}+)(?:[\x20./-]{1,2}[0-9]{2,5}+){1,4}(?![0-9A-Za-z])",
 }
-WIDE_HINTS = {"email": r"(?i)[\[({\x20]at[\])}\x20]", "ip": r"[0-9]\x20?[\[(]?\.[\])]?\x20?[0-9]", "card": r"[0-9]{4}[\x20./_-]{0,2}[0-9]{3}", "phone": r"[0-9]\)?[\x20./-]{1,2}[0-9]"}
+WIDE_HINTS = {"email": r"(?i)@|[\[({\x20]at[\])}\x20]", "ip": r"[0-9]\x20?[\[(]?\.[\])]?\x20?[0-9]", "card": r"[0-9]{4}[\x20./_-]{0,2}[0-9]{3}", "phone": r"[0-9]\)?[\x20./-]{1,2}[0-9]"}
 GOOD_WORDS = {"email": r"(?i)mail|contact|write|reach", "ip": r"(?i)\bip\b|host|server|address|login", "card": r"(?i)card|visa|credit|pay", "phone": r"(?i)phone|tel|call|mobile|fax"}
 BAD_WORDS = r"(?i)order|invoice|isbn|version|page|item|ref|serial|date|build|score|section|room|€|\$|#|\bv$"
 
@@ -148,7 +148,7 @@ def examples(number: int = EXAMPLES, seed: int = 7) -> list[tuple[str, int]]:
         lead = {"email": ("mail me: ", "contact "), "ip": ("host ", "server ip "), "card": ("visa card ", "credit "), "phone": ("call ", "phone ", "tel. ")}[kind]
         before = rng.choice([*lead, word() + " ", "the "]) if good else rng.choice(["order ", "invoice #", "version ", "page ", "isbn ", "date ", "section ", word() + " ", "the "])
         if kind == "email":
-            at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", ".")])
+            at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), ("(@)", "."), ("[@]", "[.]"), ("@", " [dot] "), ("@", "(dot)"), ("@", " dot ")])
             text = word() + rng.choice(["", "." + word(), num(2)]) + at + word() + dot + rng.choice(["com", "org", "net", "de"]) if good else word() + " at " + word() + "." + word()
         elif kind == "ip":
             parts = [str(rng.randint(1, 255)) for _ in range(4)] if good else [str(rng.choice([rng.randint(0, 9), rng.randint(256, 999)])) for _ in range(4)]
