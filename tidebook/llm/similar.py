@@ -1,23 +1,22 @@
 """Near-duplicate documents of a given shingle similarity, by SimHash and multi-index hashing.
 
 For a similarity as low as 0.8 a 64-bit fingerprint and a fixed radius do not do: such texts differ
-in about 15 % of the bits. Here a text's distinct shingles give SEGMENTS segments of BITS bits, and
-in each segment the Hamming ball is enumerated over the FLIPS bits whose votes were closest to a
-tie, which are those that a small edit turns. Both sides enumerate, so two texts meet in a table if
-they differ in at most two such bits. Texts that meet and whose first 128 bits differ in at most
-FAR are candidates, and the similarity of every candidate pair is verified on whole shingle sets.
-
-That search misses some pairs near the similarity asked for. So texts that it left in different
-groups go through an exact join: sets in the order of their hashes that are similar enough share one
-of their first few hashes, and where that is the first they share, its places bound how much they
-differ. Candidates that the bound leaves are verified too; so no pair is lost.
-
-A table entry that more than CROWD texts share emits no pairs: its texts are compared block by
-block on their shingle sets, and only links that join parts not joined before leave the task.
+in about 15 % of the bits. Here a text's distinct shingles give as many segments of bits as it takes
+to lose no more than MISS of the pairs at the similarity (``tables_for``), and in each segment the
+Hamming ball is enumerated over the bits whose votes were closest to a tie, which are those that a
+small edit turns. Both sides enumerate, so two texts meet in a table if they differ in at most two
+such bits. Texts that meet and whose first 128 bits differ in at most FAR (five standard deviations
+above what the similarity gives) are candidates, however many share the entry, and the similarity
+of every candidate pair is verified on whole shingle sets.
+
+In an entry that more than CROWD texts share, each is checked against the smallest; texts that are
+then still in different groups are compared block by block on their shingle sets, and only links
+that join parts not joined before leave the task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +26,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import Scratch, components
+from tidebook.llm import tables
+from tidebook.llm.common import Scratch, components, free_names
 from tidebook.llm.embeddings import Joined
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SEGMENTS, BITS, FLIPS = 10, 24, 6
-FAR = 28
+MISS = 0.0005
+LEAST_BITS = 24
+#: Share of pairs of segments differing in 0, 1 or 2 bits in which those bits are among the closest, so that the segments meet.
+TURNED = (1.0, 0.95, 0.87)
+FAR = 40
 CROWD = 16
-BLOCK = 256
-#: Texts of a long entry of the exact join that are compared with all others at a time.
-STRIP = 256
+BLOCK, BLOCK_BYTES = 256, 16 << 20
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -67,17 +68,29 @@ def votes(found: np.ndarray, words: int) -> np.ndarray:
     return 2 * out.ravel() - len(found)
 
 
-def table_keys(margins: np.ndarray) -> np.ndarray:
+def table_keys(margins: np.ndarray, segments: int, bits: int, flips: int) -> np.ndarray:
     """The text's entries, a LONG each: segment number, then the segment's bits, whole and with one close bit turned."""
-    parts = margins[: SEGMENTS * BITS].reshape(SEGMENTS, BITS)
-    values = (parts > 0) @ (1 << np.arange(BITS)) + (np.arange(SEGMENTS) << BITS)
-    close = np.argsort(np.abs(parts), axis=1, kind="stable")[:, :FLIPS]
+    parts = margins[: segments * bits].reshape(segments, bits)
+    values = (parts > 0) @ (1 << np.arange(bits)) + (np.arange(segments) << bits)
+    close = np.argsort(np.abs(parts), axis=1, kind="stable")[:, :flips]
     return np.concatenate([values, (values[:, None] ^ (1 << close)).ravel()])
 
 
-def prints(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text_hash, cid (of the set of shingles), and the set's fingerprint (bytes) and table keys."""
-    words = -(-SEGMENTS * BITS // 64)
+def tables_for(texts: int, similarity: float) -> tuple[int, int, int]:
+    """Segments, bits of each and bits turned, so that an entry holds few texts by chance and MISS is the share of pairs lost at the similarity.
+
+    Bits of two such texts differ at the rate that the angle between their sets has; within a
+    segment up to two bits may differ, if each is among the closest of one side (TURNED, measured).
+    """
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(texts, 1))))
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    meet = sum(math.comb(bits, d) * differ**d * (1 - differ) ** (bits - d) * TURNED[d] for d in range(3))
+    return max(1, math.ceil(math.log(MISS) / math.log(1 - meet))), bits, bits // 4
+
+
+def prints(docs: DataFrame, size: int, shape: tuple[int, int, int]) -> DataFrame:
+    """doc_id, text_hash, cid (of the set of shingles), and the set's fingerprint (low, high) and table keys (bytes)."""
+    words = max(2, -(-shape[0] * shape[1] // 64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +100,7 @@ def prints(docs: DataFrame, size: int) -> DataFrame:
                     found = shingles(text, size)
                     margins = votes(found, words)
                     low, high = np.packbits(margins[:128] > 0, bitorder="little").view("<i8").tolist()
-                    rows.append((xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63), low, high, table_keys(margins).astype("<i4").tobytes()))
+                    rows.append((xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63), low, high, table_keys(margins, *shape).astype("<i8").tobytes()))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_hash"], *[pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]],
                                                  names=["doc_id", "text_hash", "cid", "low", "high", "keys"])
 
@@ -95,82 +108,54 @@ def prints(docs: DataFrame, size: int) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, text_hash long, cid long, low long, high long, keys binary")
 
 
-def meet(distinct: DataFrame, scratch: Scratch) -> DataFrame:
-    """Candidates: (a, b, null) pairs of cids, and (a, null, key) where an entry is crowded."""
+def entries(distinct: DataFrame) -> DataFrame:
+    """key, cid, low and high of each text in each of its table entries."""
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [np.frombuffer(k, "<i4") for k in batch["keys"].to_pylist()]
-            n = len(keys[0]) if keys else 0
-            each = [np.repeat(batch[c].to_numpy(), n) for c in ("cid", "low", "high")]
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(keys), *each)], names=["key", "cid", "low", "high"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = known = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [batch[c].to_numpy() for c in ("key", "cid", "low", "high")]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
-            if cut == 0 and len(held[0]) > CROWD:
-                known, cut = held[0][-1], len(held[0])  # crowded already: its rows need not wait for its end
-            if cut:
-                yield of([x[:cut] for x in held], known)
-                held = [x[cut:] for x in held] if cut < len(held[0]) else None
-        if held is not None:
-            yield of(held, known)
-
-    def of(rows: list[np.ndarray], known: int | None) -> pa.RecordBatch:
-        key, cid, low, high = rows
-        size = np.repeat(n := np.diff(np.append(np.nonzero(np.diff(key, prepend=key[0] - 1))[0], len(key))), n)
-        if known is not None:
-            size[key == known] = CROWD + 1
-        some = (size > 1) & (size <= CROWD)
-        crowd_at = np.nonzero(size > CROWD)[0]
-        key, a, low, high = key[some], cid[some], low[some], high[some]
-        out, d = [], 1
-        while d < len(key) and (same := key[d:] == key[:-d]).any():
-            i = np.nonzero(same)[0]
-            far = np.bitwise_count((low[i] ^ low[i + d]).view(np.uint64)) + np.bitwise_count((high[i] ^ high[i + d]).view(np.uint64))
-            i = i[far <= FAR]
-            out.append(np.stack([np.minimum(a[i], a[i + d]), np.maximum(a[i], a[i + d])], 1))
-            d += 1
-        got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        n = len(got) + len(crowd_at)
-        first, empty = np.concatenate([got[:, 0], cid[crowd_at]]), np.arange(n) >= len(got)
-        second, third = np.concatenate([got[:, 1], cid[crowd_at]]), np.concatenate([np.zeros(len(got), np.int64), rows[0][crowd_at]])
-        return pa.RecordBatch.from_arrays([pa.array(first), pa.array(second, mask=empty), pa.array(third, pa.int64(), mask=~empty)], names=["a", "b", "key"])
-
-    rows = distinct.select("cid", "low", "high", "keys").mapInArrow(entries, "key int, cid long, low long, high long")
-    dealt = rows.repartition("key").sortWithinPartitions("key", "cid")
-    return scratch.write(dealt.mapInArrow(pairs, "a long, b long, key long"), "meet")
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                keys = np.frombuffer(b"".join(part["keys"].to_pylist()), "<i8")
+                n = len(keys) // max(1, part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.repeat(part[c].to_numpy(), n)) for c in ("cid", "low", "high")]], names=["key", "cid", "low", "high"])
+
+    return distinct.select("cid", "low", "high", "keys").mapInArrow(run, "key long, cid long, low long, high long")
+
+
+def near_prints(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Whether fingerprints (low, high) differ in at most FAR bits."""
+    return np.bitwise_count((x[0] ^ y[0]).view(np.uint64)) + np.bitwise_count((x[1] ^ y[1]).view(np.uint64)) <= FAR
 
 
 def crowded_links(members: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) among the texts of each crowded entry; ``members`` has key, cid, set (bytes)."""
+    """Links (a, b) among the texts of different components of each crowded entry, enough to join what they join.
+
+    ``members`` has key, cid, root, low, high and set (bytes).
+    """
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("cid", ignore_index=True)
         sets = [np.frombuffer(x, "<u8") for x in part["set"]]
-        sizes, ids = np.array([len(x) for x in sets]), part["cid"].tolist()
-        flat, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-        names, col = np.unique(flat, return_inverse=True)
+        sizes, ids, root = np.array([len(x) for x in sets]), part["cid"].tolist(), part["root"].to_numpy()
+        _, col, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        who, col = np.repeat(np.arange(len(sets)), sizes)[often[col] > 1], col[often[col] > 1]  # a shingle of one text alone is shared by none
+        _, col = np.unique(col, return_inverse=True)
+        order = np.argsort(col, kind="stable")
+        who, col = who[order], col[order]
         shared = np.zeros((len(sets), len(sets)), np.float32)
-        for at in range(0, len(names), 4096):
-            inside = (col >= at) & (col < at + 4096)
+        for at in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+            inside = slice(*np.searchsorted(col, [at, at + 4096]))
             there = np.zeros((len(sets), 4096), np.float32)
             there[who[inside], col[inside] - at] = 1
             shared += there @ there.T
-        close = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared)
-        joined = Joined()
-        out = [(ids[i], ids[j]) for i, j in zip(*np.nonzero(np.triu(close, 1))) if joined.join(ids[i], ids[j])]
+        i, j = np.nonzero(np.triu(shared >= similarity * (sizes[:, None] + sizes[None, :] - shared), 1) & (root[:, None] != root[None, :]))
+        low, high, joined = part["low"].to_numpy(), part["high"].to_numpy(), Joined()
+        fine = near_prints([low[i], high[i]], [low[j], high[j]])
+        out = [(ids[a], ids[b]) for a, b in zip(i[fine].tolist(), j[fine].tolist()) if joined.join(ids[a], ids[b])]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    own = members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "cid", "set")
-    return dealt.groupBy("key", "x", "y").applyInPandas(run, "a long, b long")
+    dealt = tables.in_blocks(members, F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES)))
+    return dealt.select("key", "x", "y", "cid", "root", "low", "high", "set").groupBy("key", "x", "y").applyInPandas(run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
@@ -202,117 +187,6 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def heads(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """cid, n (shingles), head (the first hashes of the set, one of which every set similar enough shares) and parity.
-
-    ``parity`` tells of each value of the hashes' last bits whether an odd number of hashes has it.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = []
-                for text in batch.slice(at, 256)["text"].to_pylist():
-                    found = shingles(text, size)
-                    n = len(found)
-                    most = min(n, n - int(np.ceil(similarity * n * (1 - 1e-9))) + 1)
-                    width = 1 << max(6, (n - 1).bit_length())
-                    odd = np.bincount((found & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-                    rows.append((xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63), n, found[:most].tobytes(), np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["cid", "n", "head", "parity"])
-
-    return docs.select("text").mapInArrow(run, "cid long, n int, head binary, parity binary").dropDuplicates(["cid"])
-
-
-def near_enough(differ: np.ndarray, both: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of ``both`` hashes together may be similar enough if at least ``differ`` are in one of them only."""
-    return differ * (1 + similarity) <= both * ((1 - similarity) * (1 + 1e-9))
-
-
-def may_reach(n: np.ndarray, at: np.ndarray, m: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of n and m hashes may be similar enough if the first they share is at these places."""
-    return near_enough(at + other + np.abs((n - at) - (m - other)), n + m, similarity)
-
-
-def even(pairs: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose parities do not show that they differ too much; each odd value is a hash of one set only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            differ = []
-            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
-                least = min(len(x), len(y))
-                x, y = [np.bitwise_xor.reduce(np.frombuffer(v, np.uint8).reshape(-1, least), axis=0) for v in (x, y)]
-                differ.append(int(np.bitwise_count(x ^ y).sum()))
-            good = near_enough(np.array(differ, np.int64), batch["both"].to_numpy(), similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    left = pairs.join(first.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("parity").alias("x")), "a")
-    both = left.join(first.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("y")), "b")
-    return both.select("a", "b", (F.col("na").cast("long") + F.col("nb")).alias("both"), "x", "y").mapInArrow(run, "a long, b long")
-
-
-def apart(first: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Every pair (a, b) of cids with different roots that may be similar enough by its heads; ``roots`` has cid, root."""
-
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                own = [np.frombuffer(x, "<i8") for x in batch["head"].to_pylist()]
-                counts = [len(x) for x in own]
-                if sum(counts):
-                    each = [np.repeat(batch[c].to_numpy(), counts) for c in ("cid", "root", "n")]
-                    at = np.concatenate([np.arange(c, dtype=np.int32) for c in counts])
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(own), *each, at)], names=["key", "cid", "root", "n", "at"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # rows of the last key, which may go on
-        for batch in batches:
-            new = [batch[c].to_numpy() for c in ("key", "cid", "root", "n", "at")]
-            if not len(new[0]):
-                continue
-            cut = int(np.searchsorted(new[0], new[0][-1]))
-            if held and held[0][0][0] != new[0][-1]:
-                yield from of([np.concatenate(x) for x in zip(*held, [x[:cut] for x in new])])
-                held = []
-            elif not held and cut:
-                yield from of([x[:cut] for x in new])
-            held.append([x[cut:] for x in new])
-        if held:
-            yield from of([np.concatenate(x) for x in zip(*held)])
-
-    def of(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        starts = np.nonzero(np.diff(rows[0], prepend=rows[0][0] - 1))[0]
-        counts = np.diff(np.append(starts, len(rows[0])))
-        size = np.repeat(counts, counts)
-        key, cid, root, n, at = [x[(size > 1) & (size <= CROWD)] for x in rows]
-        n, at, out, d = n.astype(np.int64), at.astype(np.int64), [], 1
-        while d < len(key) and (same := key[d:] == key[:-d]).any():
-            i = np.nonzero(same & (root[d:] != root[:-d]))[0]
-            i = i[may_reach(n[i], at[i], n[i + d], at[i + d], similarity)]
-            out.append(np.stack([cid[i], cid[i + d]], 1))
-            d += 1
-        yield batch_of(out)
-        for start, count in zip(starts[counts > CROWD].tolist(), counts[counts > CROWD].tolist()):
-            cid, root, n, at = [x[start : start + count] for x in rows[1:]]
-            if (root == root[0]).all():
-                continue
-            n, at = n.astype(np.int64), at.astype(np.int64)
-            for a in range(0, count, STRIP):
-                b = slice(a, a + STRIP)
-                i, j = np.nonzero((root[b, None] != root[None, a:]) & may_reach(n[b, None], at[b, None], n[None, a:], at[None, a:], similarity))
-                yield batch_of([np.stack([cid[a + i], cid[a + j]], 1)])
-
-    def batch_of(out: list[np.ndarray]) -> pa.RecordBatch:
-        got = np.sort(np.concatenate([np.zeros((0, 2), np.int64), *out]), axis=1)
-        got = np.unique(got, axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
-
-    rows = first.join(roots, "cid").select("cid", "root", "n", "head").mapInArrow(entries, "key long, cid long, root long, n int, at int")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(pairs, "a long, b long").distinct()
-
-
 def groups(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash and root (equal within a group of near duplicates) of every row.
 
@@ -321,45 +195,45 @@ def groups(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, similarity: f
     wordless texts have no shingles and form one group. Extra columns are left out; an empty table
     gives no rows.
     """
-    found = scratch.write(prints(docs, size), "prints")
+    found = scratch.write(prints(docs, size, tables_for(docs.count(), similarity)), "prints")
     distinct = scratch.write(found.groupBy("cid").agg(F.min_by(F.struct("low", "high", "keys"), F.struct("doc_id", "text_hash")).alias("p"),
                                                       F.min(F.struct("doc_id", "text_hash")).alias("f")).select("cid", "p.*", F.col("f.doc_id").alias("doc_id"), F.col("f.text_hash").alias("text_hash")), "distinct")
-    met = meet(distinct, scratch)
+    met = scratch.write(tables.meet(entries(distinct), entries(distinct.sample(False, tables.SAMPLE, 1)), ["low", "high"], near_prints, CROWD), "meet")
     pairs = scratch.write(met.where("b is not null").select("a", "b").distinct(), "pairs")
-    crowd = met.where("key is not null").select("key", F.col("a").alias("cid"))
+    crowd = met.where("key is not null").select("key", F.col("a").alias("cid"), "low", "high")
     keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
-
-    def sets_for(cids: DataFrame, name: str) -> DataFrame:
-        needed = scratch.write(cids.distinct().join(distinct.select("cid", "doc_id", "text_hash"), "cid"), f"needed{name}")
-        texts = keyed.join(needed.hint("merge"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
-        return scratch.write(sets_of(texts, size).dropDuplicates(["cid"]), f"sets{name}")
-
-    sets = sets_for(pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(crowd.select("cid")), "")
-    edges = verified(pairs, sets, similarity)
-    if not crowd.isEmpty():
-        edges = edges.union(crowded_links(crowd.join(sets, "cid"), similarity))
-    roots = components(scratch.write(edges, "edges"), scratch)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(crowd.select("cid")).distinct()
+    needed = scratch.write(needed.join(distinct.select("cid", "doc_id", "text_hash"), "cid"), "needed")
+    texts = keyed.join(needed.hint("merge"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
+    sets = scratch.write(sets_of(texts, size).dropDuplicates(["cid"]), "sets")
+    crowded = not crowd.isEmpty()
+    if crowded:
+        pairs = pairs.union(tables.stars(crowd)).distinct()
+    edges = scratch.write(verified(pairs, sets, similarity), "edges")
+    roots = components(edges, scratch)
+    if crowded:
+        members = scratch.write(tables.apart(crowd, roots), "apart")
+        more = scratch.write(crowded_links(members.join(sets, "cid"), similarity), "more")
+        if not more.isEmpty():
+            roots = components(edges.union(more), scratch, "cc-more")
     roots = scratch.write(distinct.select("cid").join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root")), "roots")
     for name in ("meet", "pairs", "needed", "sets", "edges"):
         scratch.drop(name)
-    first = scratch.write(heads(docs, size, similarity), "heads")
-    others = scratch.write(even(scratch.write(apart(first, roots, similarity), "apart"), first, similarity), "others")
-    scratch.drop("heads")
-    if not others.isEmpty():
-        late = verified(others, sets_for(others.select(F.explode(F.array("a", "b")).alias("cid")), "-others"), similarity)
-        late = late.join(roots.select(F.col("cid").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("cid").alias("b"), F.col("root").alias("rb")), "b")
-        top = components(scratch.write(late.select(F.col("ra").alias("a"), F.col("rb").alias("b")), "late"), scratch, "cc-late")
-        top = top.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        roots = scratch.write(roots.join(top, "root", "left").select("cid", F.coalesce("top", "root").alias("root")), "roots-late")
     return found.select("doc_id", "text_hash", "cid").join(roots, "cid").select("doc_id", "text_hash", "root")
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates: the smallest doc_id, null last."""
+    """``docs`` with one row of each group of near duplicates: the smallest doc_id, null last.
+
+    Null, empty and wordless texts are one group. Of rows equal in doc_id and text any one is kept.
+    All columns are returned as they were, whatever their names; an empty table gives no rows.
+    """
     least = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     kept = groups(docs, scratch, size, similarity).groupBy("root").agg(F.min(least).alias("k"))
-    kept = scratch.write(kept.select(F.col("k.doc_id").alias("__d"), F.col("k.text_hash").alias("__h")), "kept")
-    keyed = docs.withColumn("__t", F.xxhash64("text"))
-    out = keyed.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")))
-    once = F.row_number().over(Window.partitionBy("__d", "__h").orderBy(F.lit(1)))
-    return out.withColumn("__n", once).where("__n = 1").select(*docs.columns)
+    names = free_names(docs, "key", "null", "hash", "number")
+    key, null, text, number = names
+    own = lambda doc_id: (F.coalesce(doc_id.cast("long"), F.lit(0)).alias(key), doc_id.isNull().alias(null))
+    kept = scratch.write(kept.select(*own(F.col("k.doc_id")), F.col("k.text_hash").alias(text)), "kept")
+    keyed = docs.select("*", *own(F.col("doc_id")), F.xxhash64("text").alias(text))
+    once = F.row_number().over(Window.partitionBy(*names[:3]).orderBy(F.lit(1)))  # dealt as the join is
+    return keyed.join(kept.hint("merge"), names[:3]).withColumn(number, once).where(F.col(number) == 1).select(*docs.columns)
