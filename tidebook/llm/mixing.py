@@ -15,10 +15,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import Scratch, small_enough, word_count
+from tidebook.llm.common import Scratch, free_names, small_enough, word_count
 
 BUCKET_ROWS = 8192
 FANOUT = 256
@@ -74,7 +74,7 @@ def rounder(seed: int, level: int, last: bool) -> Callable[[tuple, pd.DataFrame]
     """Rounds one bucket of a source; marks with whole = false the row that is left. The last level leaves none."""
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["h", "doc_id", "text_hash", "size"], ignore_index=True)
+        part = part.sort_values(["h", "no_id", "id", "text_hash", "size"], ignore_index=True)
         name = key[0] if isinstance(key[0], str) else None
         rng = np.random.default_rng(zlib.crc32(repr((seed, level, name, int(key[1]))).encode()))
         p, left = round_pivotally(part["size"].to_numpy(), part["p"].to_numpy(), rng)
@@ -90,12 +90,13 @@ def mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (3, 1, 2),
 
     Returns, for each row of ``docs``: doc_id, source, text_hash, size (words), source_size,
     target (both of its source) and copies. Null text has size 0 and no copies; null sources are
-    one source, the last; repeated rows are rounded one by one; other columns are left out; an
-    empty table gives no rows. Same rows and parameters give the same result however they are
-    partitioned.
+    one source, the last; rows with a null doc_id, which stays null, and repeated rows are rounded
+    one by one; other columns are left out; an empty table gives no rows. Same rows and parameters
+    give the same result however they are partitioned.
     """
-    keys = ["doc_id", "source", "text_hash"]
-    sizes = scratch.write(docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size")), "sizes")
+    keys = ["id", "no_id", "source", "text_hash"]  # pandas would make doubles of LONGs beside a null
+    sizes = scratch.write(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "source",
+                                      F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size")), "sizes")
     by_source = scratch.write(targets(sizes, weights, share, most), "targets")
     per = by_source.select(F.col("source").alias("s"), "source_size", "target", F.ceil(F.col("rows") / BUCKET_ROWS).cast("long").alias("buckets"))
     rounds, most_buckets = 1, per.agg(F.max("buckets")).first()[0] or 1
@@ -103,14 +104,14 @@ def mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (3, 1, 2),
         rounds, most_buckets = rounds + 1, -(-most_buckets // FANOUT)
     per = F.broadcast(per) if small_enough(per, BROADCAST_ROWS) else per
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    mixed = F.xxhash64(F.lit(seed), "doc_id", "text_hash")
+    mixed = F.xxhash64(F.lit(seed), F.when(~F.col("no_id"), F.col("id")), "text_hash")
     pending = sizes.join(per, sizes["source"].eqNullSafe(per["s"])).select(
         *keys, "size", "source_size", "target", F.floor(rate).alias("base"), (rate - F.floor(rate)).alias("p"),
         mixed.alias("h"), F.pmod(F.xxhash64(mixed), F.col("buckets")).alias("bucket"))
-    columns = [*keys, "size", "source_size", "target", "copies"]
+    columns = [F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "source", "text_hash", "size", "source_size", "target", "copies"]
     done = None
     for k in range(rounds):
-        schema = "doc_id long, source string, text_hash long, size long, source_size long, target double, base long, p double, h long, bucket long, whole boolean"
+        schema = "id long, no_id boolean, source string, text_hash long, size long, source_size long, target double, base long, p double, h long, bucket long, whole boolean"
         out = scratch.write(pending.groupBy("source", "bucket").applyInPandas(rounder(seed, k, k == rounds - 1), schema), f"round-{k}")
         part = out.where("whole").withColumn("copies", F.when(F.col("size") > 0, F.col("base") + F.round("p").cast("long")).otherwise(0)).select(columns)
         done = part if done is None else done.union(part)
@@ -119,15 +120,22 @@ def mix(docs: DataFrame, scratch: Scratch, weights: Sequence[float] = (3, 1, 2),
 
 
 def apply_mix(docs: DataFrame, scratch: Scratch, **parameters) -> DataFrame:
-    """The documents themselves, each as many times as the mix takes it."""
-    keys = ["doc_id", "source", "text_hash"]
-    copies = mix(docs, scratch, **parameters).groupBy(*keys).agg(F.sum("copies").alias("__total"), F.count("*").alias("__rows"))
-    right = copies.select(*[F.col(k).alias(f"__{k}") for k in keys], "__total", "__rows").hint("merge")
-    left = docs.withColumn("text_hash", F.xxhash64("text"))
-    on = F.lit(True)
-    for k in keys:
-        on &= F.col(k).eqNullSafe(F.col(f"__{k}"))
-    same = Window.partitionBy(*keys).orderBy(F.lit(1))  # rows equal in all keys share their copies out by number
-    each = F.expr("__total div __rows") + F.when(F.col("__n") <= F.col("__total") % F.col("__rows"), 1).otherwise(0)
-    out = left.join(right, on).withColumn("__n", F.row_number().over(same)).withColumn("__each", each).where("__each > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__each")))).select(*[F.col(c) for c in docs.columns])
+    """The documents themselves, each as many times as ``mix`` takes it; ``parameters`` are those of ``mix``.
+
+    Null and wordless texts are never taken; rows with a null doc_id or source are taken like any
+    other; repeated rows share out what all of them together are taken. All columns are returned as
+    they were, whatever their names; an empty table gives no rows.
+    """
+    names = free_names(docs, "id", "no_id", "source", "no_source", "hash", "total", "rows", "number", "each")
+    keys, (total, rows, number, each) = names[:5], names[5:]
+
+    def own(text_hash: Column) -> list[Column]:
+        both = [x for c, none in (("doc_id", F.lit(0)), ("source", F.lit(""))) for x in (F.coalesce(F.col(c).cast("long") if c == "doc_id" else F.col(c), none), F.col(c).isNull())]
+        return [x.alias(k) for x, k in zip([*both, text_hash], keys)]
+
+    taken = mix(docs, scratch, **parameters).select(*own(F.col("text_hash")), "copies").groupBy(*keys).agg(F.sum("copies").alias(total), F.count("*").alias(rows))
+    out = docs.select("*", *own(F.xxhash64("text"))).join(taken.where(F.col(total) > 0).hint("merge"), keys)
+    out = out.withColumn(number, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))  # dealt as the join is
+    share = F.floor(F.col(total) / F.col(rows)) + F.when(F.col(number) <= F.col(total) % F.col(rows), 1).otherwise(0)
+    out = out.withColumn(each, share.cast("long")).where(F.col(each) > 0)
+    return out.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col(each))).alias(number)).select(*docs.columns)
