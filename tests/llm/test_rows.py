@@ -223,6 +223,22 @@ def test_mixing(spark, scratch):
     assert mixing.mix(frame.withColumn("text", F.lit(None).cast("string")), scratch).agg(F.sum("copies")).first()[0] == 0
 
 
+def test_mixing_keeps_large_ids_beside_null(spark, scratch):
+    big = (1 << 53) + 1
+    rows = [(big + 2 * i, "a b c " * (i % 5 + 1), "s" if i % 3 else None) for i in range(40)] + [(None, "a b", "s"), (None, "a b", "s"), (None, None, None), (0, "zero", "s")]
+    frame = spark.createDataFrame([(*r, 1, "h", 2, 3) for r in rows], "doc_id long, text string, source string, text_hash int, hash string, total int, number int")
+    got = mixing.mix(frame, scratch).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r[0] for r in rows)
+    taken = collections.Counter()
+    for r in got:
+        taken[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    mixed = mixing.apply_mix(frame, scratch)
+    assert mixed.columns == frame.columns
+    out = mixed.collect()
+    assert collections.Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in out) == +taken
+    assert {(r["text_hash"], r["hash"], r["total"], r["number"]) for r in out} == {(1, "h", 2, 3)}
+
+
 def test_rounding_keeps_sums_and_expectations():
     rng = np.random.default_rng(1)
     sizes, p = rng.integers(0, 50, 300), np.full(300, 0.37)
@@ -236,32 +252,82 @@ def test_rounding_keeps_sums_and_expectations():
     assert abs(total[sizes > 0].mean() / 300 - 0.37) < 0.01 and np.abs(total[sizes > 0] / 300 - 0.37).max() < 0.15
 
 
+def slow_image_components(rows):
+    """All pairs of pictures compared by their whole corners."""
+    found = [None if c is None or (p := media.decode(c)) is None else media.corners(p[None])[0] for _, c in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for j in range(len(rows)):
+        for i in range(j):
+            same = rows[i][1] is not None and rows[i][1] == rows[j][1]
+            if same or (found[i] is not None and found[j] is not None and media.agree(found[i], found[j]) >= media.INLIERS):
+                up[root(j)] = root(i)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root(k)] = min(i, least.get(root(k), i))
+    return {i: least[root(k)] for k, (i, _) in enumerate(rows)}
+
+
+BROKEN = [None, None, b"", b"no picture", b"P5", b"P5 12", b"P5 3 3 255", b"P5 3 3 255\n" + b"a" * 9, b"P5 9 9 255\nshort", b"P5 2 2 65535\n" + b"a" * 8, b"P5 99999 99999 255\n", b"\x89PNG\r\n\x1a\n", b"P6 #"]
+
+
 @pytest.mark.parametrize("crowd", [64, 3])
-def test_image_copies(spark, scratch, monkeypatch, crowd):
+def test_image_copies_are_brute_force(spark, scratch, monkeypatch, crowd):
     monkeypatch.setattr(media, "CROWD", crowd)
     rng = np.random.default_rng(2)
-    base = [media.picture(rng.normal(size=8).astype("f4")) for _ in range(12)]
+    base = [media.picture(rng.normal(size=8).astype("f4")) for _ in range(18)]
     rows = [(10 * i, media.encode_pgm(p)) for i, p in enumerate(base)]
-    rows += [(10 * i + 1, media.encode_pgm(media.edited(p, k))) for i, p in enumerate(base) for k in [(0, 1, 3)[i % 3]]]
-    n = len(rows)
-    rows += [(500, rows[0][1]), (501, None), (502, None), (503, b""), (504, b"no picture"), (505, b"P5 3 3 255\n" + b"a" * 9), (506, b"P5 9 9 255\nshort"), (0, rows[0][1])]
-    got = media.copies(spark.createDataFrame([(*r, 1) for r in rows], "image_id long, content binary, corners int"), scratch).collect()
-    assert len(got) == len(rows)
-    component = {r["image_id"]: r["component_id"] for r in got}
-    assert {i: component[i] for i, _ in rows[:n]} == {i: i // 10 * 10 for i, _ in rows[:n]}
-    assert component[500] == 0 and all(component[i] == i for i in range(501, 507))
-    assert {r["n_links"] for r in got if r["image_id"] == 0} == {3}
+    rows += [(10 * i + 1, media.encode_pgm(media.edited(p, i))) for i, p in enumerate(base)]
+    rows += [(300 + i, media.encode_pgm(base[0] * 0.6 + 2 * i)) for i in range(8)]
+    wanted = slow_image_components(rows)
+    extra = [(500 + k, x) for k, x in enumerate(BROKEN)] + [(600, rows[0][1]), (0, rows[0][1]), (None, rows[10][1])]
+    frame = spark.createDataFrame([(*r, 1, "r") for r in rows + extra], "image_id long, content binary, corners int, root string")
+    got = media.copies(frame, scratch).collect()
+    assert len(got) == len(rows) + len(extra)
+    component = {r["image_id"]: r["component_id"] for r in got if r["image_id"] is not None}
+    assert len({wanted[10 * i] for i in range(18)}) == 18 and sum(wanted[10 * i + 1] == 10 * i for i in range(18)) >= 17
+    assert all(component[i] in (w, i) for i, w in wanted.items())  # nothing joined that brute force keeps apart
+    assert sum(component[i] == w for i, w in wanted.items()) >= len(wanted) - 1
+    assert component[600] == 0 and all(component[500 + k] == 500 + k for k in range(len(BROKEN)))
+    assert [(r["n_equal"], r["component_id"], r["kept"]) for r in got if r["image_id"] is None] == [(1, 100, False)]
+    assert {r["n_equal"] for r in got if r["image_id"] == 0} == {2}
     assert media.copies(spark.createDataFrame([], "image_id long, content binary"), scratch).count() == 0
 
 
-def test_links_of_more_copies_than_crowd(spark, scratch):
-    p = media.picture(np.arange(8, dtype="f4"))
-    rows = [(i, media.encode_pgm(p * 0.6 + 0.5 * i)) for i in range(media.CROWD + 6)]
-    got = media.copies(spark.createDataFrame(rows, "image_id long, content binary"), scratch).collect()
-    found = [np.concatenate(media.corners(media.decode(c)[None])) for _, c in rows]
-    links = {i: sum(i != j and media.agree(found[min(i, j)], found[max(i, j)]) >= media.INLIERS for j in range(len(rows))) for i in range(len(rows))}
-    assert {r["image_id"]: r["n_links"] for r in got} == links and min(links.values()) > 60
-    assert {r["component_id"] for r in got} == {0}
+def test_copies_of_every_kind_are_found(spark, scratch):
+    """Meeting in tables and agreeing, for each edit and sizes between the levels of the pyramid."""
+    rng = np.random.default_rng(6)
+    base = [media.picture(rng.normal(size=8).astype("f4")) for _ in range(30)]
+    tests = media.chosen_tests(*media.tables_for(50_000))
+
+    def entries(p):
+        c = media.corners(media.decode(media.encode_pgm(p))[None])[0]
+        pairs = media.partners(c)
+        shape = np.zeros((len(pairs), 4), np.int16)
+        shape[:, :3] = media.invariants(c, pairs)
+        return c, media.keys(c, pairs, tests), shape.view(np.int64)[:, 0]
+
+    def found(x, y):
+        i, j, _ = np.nonzero(x[1][:, None, :] == y[1][None, :, :])
+        return bool(len(i)) and media.same_shape(x[2][i], y[2][j]).any() and media.agree(x[0], y[0]) >= media.INLIERS
+
+    own = [entries(p) for p in base]
+    edits = {k: lambda p, k=k: media.edited(p, k) for k in range(media.KINDS)}
+    edits |= {s: lambda p, s=s: media.resize(p[None], s)[0] for s in (0.95, 0.75, 0.67)}
+    for kind, edit in edits.items():
+        assert np.mean([found(x, entries(edit(p))) for x, p in zip(own, base)]) >= 0.9, kind
+    assert not any(found(x, y) for x, y in zip(own, own[1:]))
+
+
+def test_corners_grow_with_the_picture():
+    p = media.picture(np.arange(8, dtype="f4"), 256)
+    many, few = [len(media.corners(x[None])[0]) for x in (p, p[64:192, 64:192])]
+    assert many > 3 * few > 60
 
 
 def png(pixels, kind):
