@@ -1,10 +1,11 @@
 """Personal data: base patterns, and more candidates judged by gradient-boosted trees.
 
-Four base patterns give spans that always stay. Wider generators then propose candidates in forms
-the base patterns miss (spelled-out or bracketed e-mail addresses, defanged IP addresses, numbers
-without a country code, cards with other separators). Boosted trees score each candidate from its
-format and the words around it, and per-kind thresholds, set on held-out examples for precision,
-select what is added. Everything a text goes through is DataFrame expressions; nothing is shuffled.
+Four base patterns give spans that always stay. Several wider generators a kind then propose
+overlapping candidates in forms the base patterns miss (spelled-out, spaced or bracketed e-mail
+addresses, defanged IP addresses, numbers with other separators or without a country code, cards
+among other digits). Boosted trees score each candidate from its format and the words around it;
+of those above their kind's threshold, set on held-out examples for precision, the best of each
+overlap is added. Everything a text goes through is DataFrame expressions; nothing is shuffled.
 
 The trees are fitted here on examples that a seeded rule writes, whose number is a parameter; the
 examples go through the same expressions as the texts. Base patterns are written so that Java's
@@ -20,6 +21,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebook.llm.common import free_names
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "A-Za-z0-9._%+-"
 BASE = {
@@ -32,18 +35,27 @@ BASE = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 AT = r"(?:\x20?[\[({]\x20?(?:at|AT|@)\x20?[\])}]\x20?|\x20(?:at|AT)\x20|@)"
 DOT = r"(?:\x20?[\[({]\x20?(?:dot|DOT|\.)\x20?[\])}]\x20?|\x20(?:dot|DOT)\x20|\.)"
+END = r"(?![0-9])"
+#: Several generators a kind; what they propose may overlap.
 WIDE = {
-    "email": rf"(?<![{LOCAL}])[{LOCAL}]++{AT}[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++){{1,4}}",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\x20?[\[(]?\.[\])]?\x20?[0-9]{1,3}+){3}(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}+(?:[\x20./_-]{0,2}[0-9]{3,6}+){2,4}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z.])(?:\([0-9]{2,4}\)|[0-9]{2,5}+)(?:[\x20./-]{1,2}[0-9]{2,5}+){1,4}(?![0-9A-Za-z])",
+    "email": (rf"(?<![{LOCAL}])[{LOCAL}]++{AT}[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++){{1,4}}",
+              rf"(?<![{LOCAL}])[{LOCAL}]++\x20?@\x20?[A-Za-z0-9-]++(?:\x20?\.\x20?[A-Za-z0-9-]++){{1,3}}"),
+    "ip": (rf"(?<![0-9.])[0-9]{{1,3}}+(?:\x20?[\[(]?\.[\])]?\x20?[0-9]{{1,3}}+){{3}}{END}",
+           rf"(?<![0-9.])[0-9]{{1,3}}+(?:\x20?[\[({{]?(?:dot|DOT)[\])}}]?\x20?[0-9]{{1,3}}+){{3}}{END}"),
+    "card": (rf"(?<![0-9])[0-9]{{4}}+(?:[\x20./_-]{{0,3}}[0-9]{{3,6}}+){{2,4}}{END}",
+             rf"(?<![0-9])[0-9]{{12,19}}+{END}",
+             rf"(?<![0-9])[0-9]{{4}}+(?:[\x20./_-][0-9]{{4}}+){{3}}{END}"),
+    "phone": (r"(?<![0-9A-Za-z.])(?:\([0-9]{2,4}\)|[0-9]{2,5}+)(?:[\x20./-]{1,2}[0-9]{2,5}+){1,4}(?![0-9A-Za-z])",
+              rf"(?<![0-9A-Za-z+])00[0-9]{{1,3}}+(?:[\x20()./-]{{1,3}}[0-9]{{2,5}}+){{2,4}}{END}",
+              rf"\+[0-9]{{1,3}}+(?:[\x20\xa0()./-]{{1,3}}[0-9]{{2,5}}+){{2,4}}{END}"),
 }
-WIDE_HINTS = {"email": r"(?i)@|[\[({\x20]at[\])}\x20]", "ip": r"[0-9]\x20?[\[(]?\.[\])]?\x20?[0-9]", "card": r"[0-9]{4}[\x20./_-]{0,2}[0-9]{3}", "phone": r"[0-9]\)?[\x20./-]{1,2}[0-9]"}
+WIDE_HINTS = {"email": r"(?i)@|[\[({\x20]at[\])}\x20]", "ip": r"(?i)[0-9]\x20?[\[({]?(?:\.|dot)[\])}]?\x20?[0-9]", "card": r"[0-9]{4}[\x20./_-]{0,3}[0-9]{3}", "phone": r"[0-9]\)?[\x20\xa0./-]{1,2}\(?[0-9]"}
 GOOD_WORDS = {"email": r"(?i)mail|contact|write|reach", "ip": r"(?i)\bip\b|host|server|address|login", "card": r"(?i)card|visa|credit|pay", "phone": r"(?i)phone|tel|call|mobile|fax"}
 BAD_WORDS = r"(?i)order|invoice|isbn|version|page|item|ref|serial|date|build|score|section|room|€|\$|#|\bv$"
+TLD = r"(?i)[^A-Za-z](?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|nl|eu)$"
 
 ROUNDS, RATE, EXAMPLES, PRECISION = 40, 0.3, 3000, 0.99
-FEATURES = ("kind", "digits", "groups", "longest", "shortest", "length", "brackets", "luhn", "good", "bad", "octets", "spelled", "first_group")
+FEATURES = ("kind", "digits", "groups", "longest", "shortest", "length", "brackets", "luhn", "good", "bad", "octets", "spelled", "first_group", "lead", "even", "spaces", "tld", "plus")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -115,17 +127,19 @@ def features(kind: str, x: Column) -> Column:
     return F.struct(*[v.cast("int").alias(n) for n, v in zip(FEATURES, (
         F.lit(KINDS.index(kind)), F.length(digits(x["v"])), F.size(groups), F.coalesce(F.array_max(sizes), F.lit(0)), F.coalesce(F.array_min(sizes), F.lit(0)), F.length(x["v"]),
         flag(x["v"].rlike(r"[\[({]")), flag(luhn(digits(x["v"]))), flag(x["before"].rlike(GOOD_WORDS[kind])), flag(F.concat(x["before"], F.lit(" "), x["after"]).rlike(BAD_WORDS)),
-        flag(octets(x["v"])), flag(x["v"].rlike(r"(?i)\bdot\b")), F.coalesce(F.get(sizes, F.lit(0)), F.lit(0))))])
+        flag(octets(x["v"])), flag(x["v"].rlike(r"(?i)\bdot\b")), F.coalesce(F.get(sizes, F.lit(0)), F.lit(0)),
+        F.coalesce(F.left(digits(x["v"]), F.lit(2)).try_cast("int"), F.lit(0)), F.size(F.array_distinct(F.regexp_extract_all(x["v"], F.lit(r"[0-9]([^0-9]+)[0-9]"), F.lit(1)))),
+        F.regexp_count(x["v"], F.lit(r"\x20")), flag(x["v"].rlike(TLD)), flag(x["v"].rlike(r"^(?:\+|00)"))))])
 
 
 def candidates(text: Column) -> Column:
     """What the generators propose, as array of (s, k, e, f)."""
 
-    def of(k: int, kind: str) -> Column:
-        return F.transform(spans(text, WIDE[kind], WIDE_HINTS[kind]),
+    def of(k: int, kind: str, pattern: str) -> Column:
+        return F.transform(spans(text, pattern, WIDE_HINTS[kind]),
                            lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), features(kind, x).alias("f")))
 
-    return F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)])
+    return F.array_distinct(F.concat(*[of(k, kind, p) for k, kind in enumerate(KINDS) for p in WIDE[kind]]))
 
 
 def examples(number: int = EXAMPLES, seed: int = 7) -> list[tuple[str, int]]:
@@ -148,16 +162,23 @@ def examples(number: int = EXAMPLES, seed: int = 7) -> list[tuple[str, int]]:
         lead = {"email": ("mail me: ", "contact "), "ip": ("host ", "server ip "), "card": ("visa card ", "credit "), "phone": ("call ", "phone ", "tel. ")}[kind]
         before = rng.choice([*lead, word() + " ", "the "]) if good else rng.choice(["order ", "invoice #", "version ", "page ", "isbn ", "date ", "section ", word() + " ", "the "])
         if kind == "email":
-            at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), ("(@)", "."), ("[@]", "[.]"), ("@", " [dot] "), ("@", "(dot)"), ("@", " dot ")])
-            text = word() + rng.choice(["", "." + word(), num(2)]) + at + word() + dot + rng.choice(["com", "org", "net", "de"]) if good else word() + " at " + word() + "." + word()
+            at, dot = rng.choice([(" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), ("[at]", "."), ("(@)", "."), ("[@]", "[.]"), ("@", " [dot] "), ("@", "(dot)"), ("@", " dot "), (" @ ", "."), ("@ ", " . "), (" @ ", " . ")])
+            tld = rng.choice(["com", "org", "net", "de", "fr", "io"])
+            text = word() + rng.choice(["", "." + word(), num(2)]) + at + word() + dot + tld if good else word() + rng.choice([" at ", " @ ", " at the "]) + word() + rng.choice([". ", "."]) + word()
         elif kind == "ip":
             parts = [str(rng.randint(1, 255)) for _ in range(4)] if good else [str(rng.choice([rng.randint(0, 9), rng.randint(256, 999)])) for _ in range(4)]
-            text = rng.choice(["[.]", "(.)"] if good else [". ", " . ", "."]).join(parts)
+            text = rng.choice(["[.]", "(.)", " dot ", "[dot]"] if good else [". ", " . ", ".", "[.]", " dot "]).join(parts)
+            if not good and all(int(x) <= 255 for x in parts):
+                text = text.replace("[.]", ". ").replace(" dot ", ". ")
         elif kind == "card":
-            text = group(card(), rng.choice([".", "/", "_", " - "])) if good else rng.choice([group("9" + num(15), rng.choice([".", "/"])), num(4) + "/" + num(3) + "/" + num(4), num(13)])
+            if good:
+                number_ = card()
+                text = rng.choice([group(number_, rng.choice([".", "/", "_", " - ", " / "])), f"{card()} {number_}", f"{number_} {card()}"])
+            else:
+                text = rng.choice([group("9" + num(15), rng.choice([".", "/"])), num(4) + "/" + num(3) + "/" + num(4), num(13), "0" + num(15), f"{rng.choice('12789')}{num(15)} {rng.choice('12789')}{num(15)}", num(20), f"{num(5)} {num(16)} {num(7)}"])
         else:
-            text = rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{rng.randint(2, 9)}{num(2)}-{num(3)}-{num(4)}", f"0{num(3)} {num(3)} {num(4)}", f"0{num(2)}.{num(3)}.{num(4)}"]) if good else rng.choice(
-                [f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{num(2)}/{num(2)}/{num(4)}", f"{num(2)} {num(3)}", f"{num(5)} {num(5)} {num(5)}", f"{num(2)} {num(2)} {num(2)}"])
+            text = rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{rng.randint(2, 9)}{num(2)}-{num(3)}-{num(4)}", f"0{num(3)} {num(3)} {num(4)}", f"0{num(2)}.{num(3)}.{num(4)}", f"00{num(2)} {num(3)} {num(3)} {num(3)}", f"+{num(2)}/{num(3)}/{num(6)[:5]}", f"+{num(2)}\xa0{num(3)}\xa0{num(4)}"]) if good else rng.choice(
+                [f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{num(2)}/{num(2)}/{num(4)}", f"{num(2)} {num(3)}", f"{num(5)} {num(5)} {num(5)}", f"{num(2)} {num(2)} {num(2)}", f"{num(4)} {num(4)}", f"{num(2)}.{num(3)}.{num(3)}.{num(2)}"])
         out.append((f"{word()} {before}{text} {word()}", int(good)))
     return out
 
@@ -234,24 +255,25 @@ def train(spark: SparkSession, number: int = EXAMPLES, precision: float = PRECIS
     return model, limits
 
 
-def find(docs: DataFrame, model: tuple, limits: list[float]) -> DataFrame:
+def find(docs: DataFrame, model: tuple, limits: list[float], base: str = "base", found: str = "found") -> DataFrame:
     """``docs`` with ``base`` and ``found``: arrays of (s, k, e) in code points, by start, then kind.
 
-    ``found`` holds the base spans and the candidates above their kind's threshold that overlap no
-    base span nor an earlier added one. Null text counts as empty.
+    ``found`` holds the base spans and, best score first, every candidate above its kind's threshold
+    that overlaps no base span nor a better one. Null and empty texts have no spans; repeated rows
+    give the same spans each; columns named ``base`` or ``found`` are replaced, others stay as they
+    are; an empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     limit = F.array(*[F.lit(x) for x in limits])
-    out = docs.withColumns({"base": base_spans(text), "wide": candidates(text)})
-
-    def chosen(x: Column) -> Column:
-        return F.when(tree_score(x["f"], model) >= F.get(limit, x["k"]), ~F.exists("base", lambda b: (x["s"] < b["e"]) & (b["s"] < x["e"]))).otherwise(False)
-
-    added = F.array_sort(F.transform(F.filter("wide", chosen), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
+    wide, = free_names(docs.withColumns({base: F.lit(0), found: F.lit(0)}), "wide")
+    out = docs.withColumns({base: base_spans(text), wide: candidates(text)})
+    overlap = lambda x, y: (x["s"] < y["e"]) & (y["s"] < x["e"])
+    scored = F.transform(wide, lambda x: F.struct((-tree_score(x["f"], model)).alias("c"), x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    scored = F.array_sort(F.filter(scored, lambda x: (-x["c"] >= F.get(limit, x["k"])) & ~F.exists(base, lambda b: overlap(x, b))))
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    added = F.aggregate(added, F.struct(F.lit(0).alias("p"), none.alias("o")), lambda a, x: F.when(
-        x["s"] >= a["p"], F.struct(x["e"].alias("p"), F.array_append(a["o"], x).alias("o"))).otherwise(a), lambda a: a["o"])
-    return out.withColumn("found", F.when(F.size("wide") > 0, F.array_sort(F.concat("base", added))).otherwise(F.col("base"))).drop("wide")
+    added = F.aggregate(scored, none, lambda a, x: F.when(F.exists(a, lambda y: overlap(x, y)), a).otherwise(
+        F.array_append(a, F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))))
+    return out.withColumn(found, F.when(F.size(wide) > 0, F.array_sort(F.concat(base, added))).otherwise(F.col(base))).drop(wide)
 
 
 def written(found: Column) -> Column:
@@ -261,10 +283,11 @@ def written(found: Column) -> Column:
 
 
 def redact(docs: DataFrame, model: tuple, limits: list[float]) -> DataFrame:
-    """The documents with every found span replaced by its kind in brackets; null text stays null."""
+    """The documents with every found span replaced by its kind in brackets; null text stays null, all other columns as they were."""
     names = F.array(*[F.lit(f"[{k}]") for k in KINDS])
-    found = find(docs, model, limits)
-    cut = F.aggregate("found", F.struct(F.lit(0).alias("p"), F.lit("").alias("t")), lambda a, x: F.when(x["s"] < a["p"], a).otherwise(F.struct(
+    base, found = free_names(docs, "base", "found")
+    out = find(docs, model, limits, base, found)
+    cut = F.aggregate(found, F.struct(F.lit(0).alias("p"), F.lit("").alias("t")), lambda a, x: F.when(x["s"] < a["p"], a).otherwise(F.struct(
         x["e"].alias("p"), F.concat(a["t"], F.substring(F.col("text"), a["p"] + 1, x["s"] - a["p"]), F.get(names, x["k"])).alias("t"))),
         lambda a: F.concat(a["t"], F.substring(F.col("text"), a["p"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("found") > 0, cut).otherwise(F.col("text"))).select(*docs.columns)
+    return out.withColumn("text", F.when(F.size(found) > 0, cut).otherwise(F.col("text"))).select(*docs.columns)
