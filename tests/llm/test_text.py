@@ -222,13 +222,51 @@ def test_every_form_of_address_is_found_alone(spark, docs_of, model, form):
     assert rows == {0: "contact [email]", 1: "Kontakt: [email]", 2: "contact [email] at noon"}
 
 
-def test_trees_separate_unseen_examples(spark, model):
-    made = pii.examples(600, seed=99)
+def candidates_of(spark, made):
     text = pii.F.explode(pii.F.split(pii.F.lit("\n".join(f"{y}{t}" for t, y in made)), "\n"))
     rows = spark.range(1).select(text.alias("t")).select(pii.F.left("t", pii.F.lit(1)).cast("int").alias("y"), pii.F.explode(pii.candidates(pii.F.expr("substring(t, 2)"))).alias("c")).select("y", "c.f.*").collect()
-    x, y = np.array([[r[n] for n in pii.FEATURES] for r in rows], float), np.array([r["y"] for r in rows])
+    return np.array([[r[n] for n in pii.FEATURES] for r in rows], float), np.array([r["y"] for r in rows])
+
+
+def test_trees_separate_unseen_examples(spark, model):
+    x, y = candidates_of(spark, pii.examples(600, seed=99))
     chosen = pii.apply_trees(x, model[0]) >= np.array(model[1])[x[:, 0].astype(int)]
-    assert y[chosen].mean() >= 0.95 and chosen[y == 1].mean() >= 0.6
+    assert y[chosen].mean() >= 0.95
+
+
+def with_check_digit(body):
+    return next(body + str(k) for k in range(10) if luhn(body + str(k)))
+
+
+def test_spans_of_every_kind_are_added(spark, docs_of, model):
+    """Texts by other rules than the trees' own: what is hidden in them is found, numbers that are no personal data are not."""
+    rng = random.Random(17)
+    num = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    filler = lambda: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet"]) for _ in range(6))
+    texts, kinds = [], []
+    for _ in range(60):
+        card, octet = with_check_digit("4" + num(14)), [str(rng.randint(2, 254)) for _ in range(4)]
+        for kind, span in (("email", rng.choice(["anna.lee (at) firm (dot) com", "bob_7 [at] site.org", "carl @ web.de", "dora at mail dot net"])), ("ip", rng.choice(["[.]", "(.)", " dot "]).join(octet)),
+                           ("card", rng.choice([f"{card[:4]}.{card[4:8]}.{card[8:12]}.{card[12:]}", f"{with_check_digit('4' + num(14))} {card}", f"{card[:4]}/{card[4:8]}/{card[8:12]}/{card[12:]}"])),
+                           ("phone", rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"0{num(3)} {num(3)} {num(4)}", f"0049 {num(3)} {num(3)} {num(3)}"]))):
+            lead = {"email": "write to", "ip": "the host", "card": "her credit card", "phone": "call"}[kind]
+            texts.append(f"{filler()} {lead} {span} {filler()}")
+            kinds.append(kind)
+    none = [f"{filler()} {x} {filler()}" for x in ("on 2021-10-12", "chapter 3.14.15.92653", "isbn 9781234567897123", "room 12 34 56", "see you @ noon. Then we go", "version 10. 300. 5. 2", "order 12345 67890 12345", "look at this. Now", "invoice 90210 90210")]
+    rows = {r["doc_id"]: (r["base"], r["found"]) for r in pii.find(docs_of(texts + none), *model).select("doc_id", "base", "found").collect()}
+    for k, kind in enumerate(pii.KINDS):
+        own = [i for i, x in enumerate(kinds) if x == kind]
+        assert kind == "phone" or not any(rows[i][0] for i in own)  # one in ten of the longer phone numbers has a check digit
+        assert np.mean([any(x["k"] == k for x in rows[i][1]) for i in own]) >= 0.9, kind
+    assert [len(rows[len(texts) + i][1]) for i in range(len(none))] == [0] * len(none)
+
+
+def test_personal_data_keeps_other_columns(spark, model):
+    frame = spark.createDataFrame([(1, "mail a@b.co", 5, "f", 2), (1, "mail a@b.co", 5, "f", 2), (None, None, 6, None, 3)], "doc_id long, text string, base int, found string, wide int")
+    out = pii.redact(frame, *model)
+    assert out.columns == frame.columns
+    assert sorted((r["text"] or "", r["base"], r["found"] or "", r["wide"]) for r in out.collect()) == [("", 6, "", 3), ("mail [email]", 5, "f", 2), ("mail [email]", 5, "f", 2)]
+    assert pii.redact(frame.limit(0), *model).count() == 0
 
 
 def test_personal_data_query_runs_no_python(spark, sf_dir):
