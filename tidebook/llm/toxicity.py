@@ -75,10 +75,14 @@ class Model:
 def document_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """In how many texts of each class an n-gram is: toxic, other, and the numbers of texts.
 
-    A task sends two arrays of fixed size; the sample has at most 2 * SAMPLE rows.
+    A task sends two arrays of fixed size, and more only beyond 65,535 rows of a class; the sample has
+    at most 2 * SAMPLE rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"n0": [n[0]], "n1": [n[1]], "c": [found.tobytes()]})
+
         found, n = np.zeros((2, 1 << WIDTH), np.uint16), [0, 0]
         for batch in batches:
             for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
@@ -86,8 +90,11 @@ def document_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
                 one = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint32)
                 found[toxic][one] += 1
                 n[toxic] += 1
+                if n[toxic] == 65535:
+                    yield rows()
+                    found, n = np.zeros_like(found), [0, 0]
         if sum(n):
-            yield pa.RecordBatch.from_pydict({"n0": [n[0]], "n1": [n[1]], "c": [found.tobytes()]})
+            yield rows()
 
     total, n = np.zeros((2, 1 << WIDTH), np.int32), np.zeros(2, np.int64)
     for row in sample.mapInArrow(run, "n0 long, n1 long, c binary").toLocalIterator():
@@ -124,16 +131,19 @@ def logistic(lists: list[np.ndarray], scale: np.ndarray, labels: np.ndarray) ->
 def train(labelled: DataFrame, docs: DataFrame, scratch: Scratch, most: int = SAMPLE) -> Model:
     """Fit on ``labelled`` (doc_id, toxic 0 or 1; null labels are left out) and the texts of ``docs``.
 
-    At most ``most`` rows of each class, by hash of doc_id. Without one of the classes, or without
-    any text, every score is the share of toxic rows (0 if there are none).
+    At most ``most`` rows of each class, by hash of doc_id. A doc_id labelled both ways counts as
+    toxic; of documents that repeat a doc_id the one with the smallest text hash trains, and a null
+    doc_id none. Without one of the classes, or without any text, every score is the share of toxic
+    rows (0 if there are none).
     """
-    ids = None
+    ids, marked = None, labelled.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     for toxic in (0, 1):
-        part = labelled.where(F.col("toxic") == toxic).select("doc_id", F.lit(toxic).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        part = marked.where(F.col("toxic") == toxic).select("doc_id", F.lit(toxic).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         ids = part if ids is None else ids.union(part)
     ids = scratch.write(ids, "sample-ids")
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 2 * most rows
-    sample = scratch.write(sample.repartition(12), "sample")
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), F.first("toxic").alias("toxic")).select("doc_id", "t.text", "toxic")
+    sample = scratch.write(sample.repartition(12, "doc_id"), "sample")
     toxic, other, n = document_counts(sample)
     place = np.full(1 << WIDTH, FEATURES, np.uint16)
     if not n.all():
@@ -165,7 +175,11 @@ def train(labelled: DataFrame, docs: DataFrame, scratch: Scratch, most: int = SA
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """``docs`` with a column ``name`` of 0 to 1; null and empty texts are scored like any other."""
+    """``docs`` with a column ``name`` of 0 to 1.
+
+    Null and empty texts are scored like any other, and alike; repeated rows get the same score
+    each; a column that has the name already is replaced; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.place, model.weights, model.intercept))
 
     @F.pandas_udf("double")
