@@ -24,6 +24,8 @@ CAPACITY = 2048
 OPEN = 4096
 #: Pieces a packing task gets; a task holds OPEN small integers whatever their number.
 PIECES_A_TASK = 1_000_000
+#: Pieces that are packed longest first.
+WINDOW = 10_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -92,16 +94,30 @@ TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
+def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, WINDOW in each batch but the last, whatever the batches were."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        while sum(x.num_rows for x in held) >= WINDOW:
+            whole = pa.concat_batches(held)
+            yield whole.slice(0, WINDOW)
+            held = [whole.slice(WINDOW)]
+    if held and (whole := pa.concat_batches(held)).num_rows:
+        yield whole
+
+
 def pack(found: DataFrame, tasks: int, capacity: int = CAPACITY, most: int = OPEN) -> DataFrame:
     """Give every piece a sequence and an offset; each of ``tasks`` tasks packs its own share.
 
-    Needs columns of ``pieces``. Pieces are dealt by a hash of the whole row, so equal rows stay
-    together and no key is hot; a rerun packs alike.
+    Needs columns of ``pieces``. Pieces are dealt by a hash of doc_id, piece and content, in whose
+    order they are packed, WINDOW at a time and the longest of those first: the same pieces and
+    ``tasks`` pack alike however they come. Only rows equal in all three share a task for certain.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, base = OpenSequences(capacity, most), TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in windows(batches):
             lengths = batch["length"].to_numpy()
             got = [(0, 0)] * len(lengths)
             for i in np.argsort(-lengths, kind="stable").tolist():  # longest of the batch first: short ones fill what is left
@@ -111,7 +127,7 @@ def pack(found: DataFrame, tasks: int, capacity: int = CAPACITY, most: int = OPE
                 names=[*NAMES, "sequence_id", "offset"])
 
     mixed = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = found.select(*NAMES).repartition(tasks).sortWithinPartitions(mixed, "doc_id", "piece", "start")
+    dealt = found.select(*NAMES).repartition(tasks, mixed).sortWithinPartitions(mixed, "doc_id", "piece", "start", "length")
     return dealt.mapInArrow(run, PLACED)
 
 
