@@ -30,6 +30,10 @@ LEAST_REVISIT = 100
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
 
+#: What stands before every payload; pages keep no headers of their own.
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+#: Frames of the archives that a task reads back.
+FRAMES_A_TASK = 8
 EPOCH = "1970-01-01T00:00:00Z"
 
 
@@ -98,25 +102,26 @@ def page_of(identifier: str) -> int | None:
 
 
 def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A WARC/1.1 resource of one page; a revisit carries no payload, only its size and digest."""
+    """A WARC/1.1 HTTP response of one page; a revisit carries no payload, only its size and digest."""
     revisit = refers_to is not None
     head = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {EPOCH}",
         f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}"]
-    body = b"" if revisit else payload
-    return ("\r\n".join([*head, "Content-Type: text/html", f"Content-Length: {len(body)}"]) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
+    body = HTTP_HEAD if revisit else HTTP_HEAD + payload
+    return ("\r\n".join([*head, "Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
 
 
 def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes]:
-    """Headers and body of the record at an offset; the body's digest and length must agree."""
+    """Headers and payload of the record at an offset; the payload's digest and length must agree."""
     end = data.index(b"\r\n\r\n", at)
     first, *rest = data[at:end].decode().split("\r\n")
     if first != "WARC/1.1":
         raise ValueError("no WARC record here")
     head = dict(x.split(": ", 1) for x in rest)
-    body = data[end + 4 : end + 4 + int(head["Content-Length"])]
+    block = data[end + 4 : end + 4 + int(head["Content-Length"])]
+    body = block[block.index(b"\r\n\r\n") + 4 :]
     if head["WARC-Type"] == "response" and (len(body) != int(head["X-Payload-Length"]) or hashlib.sha256(body).hexdigest() != head["WARC-Payload-Digest"].removeprefix("sha256:")):
         raise ValueError("a payload is not what its header says")
     return head, body
@@ -140,7 +145,8 @@ def write_archives(pages: DataFrame, scratch: Scratch, name: str = "warc") -> Da
     """Write every page as a record; returns the index: record_id, path, frame, offset.
 
     File names carry the task attempt; only files that the index names count. Null html is an
-    empty payload, null url an empty target.
+    empty payload, null url an empty target; repeated rows are a record each, a null page_id has an
+    empty identifier; other columns are left out; an empty table writes no file.
     """
     root = scratch.path(name)
 
@@ -194,5 +200,6 @@ def read_archives(index: DataFrame, with_payload: bool = False) -> DataFrame:
 
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * with_payload
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()] + [pa.binary()] * with_payload
-    ordered = index.repartitionByRange("path", "frame").sortWithinPartitions("path", "frame", "offset")
+    tasks = -(-index.select("path", "frame").distinct().count() // FRAMES_A_TASK)
+    ordered = index.repartitionByRange(max(1, tasks), "path", "frame").sortWithinPartitions("path", "frame", "offset")
     return ordered.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
