@@ -25,6 +25,8 @@ COSINE = 0.98
 PASSES = 12
 BITS = 60
 WINDOW = 24
+#: Rows of a pass that one task compares: far more than WINDOW, so that a window ends in the next task at the latest.
+ROWS_A_TASK = 16_384
 #: Vectors of a component that one block of the exact count holds.
 BLOCK = 1024
 
@@ -35,8 +37,20 @@ def codes(vectors: np.ndarray, turn: int, seed: int) -> np.ndarray:
     return ((vectors @ planes > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))).astype(np.int64)
 
 
+def raw(vector: list) -> bytes:
+    """The bytes of a vector: as float32 if that loses nothing, else as float64 with one byte more."""
+    own = np.array(vector, "<f8")
+    with np.errstate(over="ignore"):
+        short = own.astype("<f4")
+    return short.tobytes() if (short == own).all() else own.tobytes() + b"d"
+
+
+def vector_of(data: bytes) -> np.ndarray:
+    return np.frombuffer(data[:-1], "<f8") if len(data) % 4 else np.frombuffer(data, "<f4")
+
+
 def unit(vectors: list[bytes]) -> np.ndarray:
-    got = np.stack([np.frombuffer(v, "<f4") for v in vectors]).astype(float)
+    got = np.stack([vector_of(v) for v in vectors]).astype(float)
     got /= np.abs(got).max(axis=1, keepdims=True)  # no overflow or underflow in the norm
     return got / np.linalg.norm(got, axis=1, keepdims=True)
 
@@ -80,31 +94,31 @@ def pass_rows(distinct: DataFrame, passes: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.asarray(v, "<f4") for v in batch["embedding"].to_pylist()]
-            sizes = np.array([len(v) for v in found])
+            lists = batch["embedding"].to_pylist()
+            found, sizes = [raw(v) for v in lists], np.array([len(v) for v in lists])
             for size in np.unique(sizes):
                 at = np.nonzero(sizes == size)[0]
-                vectors, own = unit([found[i].tobytes() for i in at]), batch.take(pa.array(at))
-                raw = pa.array([found[i].tobytes() for i in at], pa.binary())
+                vectors, own = unit([found[i] for i in at]), batch.take(pa.array(at))
+                whole = pa.array([found[i] for i in at], pa.binary())
                 for turn in range(passes):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), turn)), own["label"].cast(pa.int64()), pa.array(np.full(len(at), size, np.int64)), pa.array(codes(vectors, turn, seed)), own["cid"], raw],
+                        [pa.array(np.full(len(at), turn)), own["label"].cast(pa.int64()), pa.array(np.full(len(at), size, np.int64)), pa.array(codes(vectors, turn, seed)), own["cid"], whole],
                         names=["turn", "label", "size", "code", "cid", "vector"])
 
     return distinct.select("cid", "label", "embedding").mapInArrow(run, "turn long, label long, size long, code long, cid long, vector binary")
 
 
-def link_windows(rows: DataFrame, scratch: Scratch, window: int, least: float) -> DataFrame:
+def link_windows(rows: DataFrame, scratch: Scratch, window: int, least: float, tasks: int) -> DataFrame:
     """Links (a, b) that the passes' windows show; enough of them to join what they join."""
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, joined, kept, seen, tail = TaskContext.get().partitionId(), Joined(), None, 0, []
         for batch in batches:
             keys = list(zip(batch["turn"].to_pylist(), batch["label"].to_pylist(), batch["size"].to_pylist()))
-            ids, raw, start, out = batch["cid"].to_pylist(), batch["vector"].to_pylist(), 0, []
-            head = [(part - 1, 1, seen + i, *keys[i], ids[i], raw[i]) for i in range(min(len(ids), max(0, window - seen)))]
+            ids, whole, start, out = batch["cid"].to_pylist(), batch["vector"].to_pylist(), 0, []
+            head = [(part - 1, 1, seen + i, *keys[i], ids[i], whole[i]) for i in range(min(len(ids), max(0, window - seen)))]
             seen += len(ids)
-            tail = (tail + [(part, 0, 0, *k, i, v) for k, i, v in list(zip(keys, ids, raw))[-window:]])[-window:]
+            tail = (tail + [(part, 0, 0, *k, i, v) for k, i, v in list(zip(keys, ids, whole))[-window:]])[-window:]
             while start < len(ids):
                 end = start + 1
                 while end < len(ids) and keys[end] == keys[start] and end - start < 4096:
@@ -113,7 +127,7 @@ def link_windows(rows: DataFrame, scratch: Scratch, window: int, least: float) -
                     if kept is not None and kept[0][0] != keys[start][0]:
                         joined = Joined()  # links of another pass are worth their own rows
                     kept = keys[start], [], np.zeros((0, keys[start][2]))
-                own, all_ids = unit(raw[start:end]), kept[1] + ids[start:end]
+                own, all_ids = unit(whole[start:end]), kept[1] + ids[start:end]
                 both = np.concatenate([kept[2], own])
                 out += [(all_ids[i], all_ids[j]) for i, j in window_links(both, len(kept[1]), window, least) if joined.join(all_ids[i], all_ids[j])]
                 kept = keys[start], all_ids[-window:], both[-window:]
@@ -140,7 +154,7 @@ def link_windows(rows: DataFrame, scratch: Scratch, window: int, least: float) -
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     order = ["turn", "label", "size", "code", "cid"]
-    found = scratch.write(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+    found = scratch.write(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(
         inside, "a long, b long, seam long, after long, place long, turn long, label long, size long, vector binary"), "windows")
     seams = found.where("b is null").groupBy("seam").applyInPandas(across, "a long, b long")  # two windows a seam
     return found.where("b is not null").select("a", "b").union(seams)
@@ -180,15 +194,15 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, least: float = COSINE,
     component_id unless alone (then null, and kept is false). An empty table gives no rows; other
     columns are left out.
     """
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<float>"),
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>"),
                           F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
     distinct = scratch.write(distinct_vectors(rows).withColumn("cid", F.monotonically_increasing_id()), "distinct")
-    links = scratch.write(link_windows(pass_rows(distinct, passes, seed), scratch, window, least), "links")
+    tasks = max(1, -(-distinct.count() * passes // ROWS_A_TASK))
+    links = scratch.write(link_windows(pass_rows(distinct, passes, seed), scratch, window, least, tasks), "links")
     roots = scratch.write(components(links, scratch).select(F.col("node").alias("cid"), "root"), "roots")
     sizes = scratch.write(roots.groupBy("root").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks")), "sizes")
     blocked = roots.join(sizes, "root")
-    raw = F.col("embedding")
-    members = scratch.write(distinct.join(blocked, "cid").select("root", "blocks", "cid", "n", "first", raw.alias("embedding")), "members")
+    members = scratch.write(distinct.join(blocked, "cid").select("root", "blocks", "cid", "n", "first", "embedding"), "members")
     counted = count_links(members.mapInArrow(as_bytes, "root long, blocks long, cid long, n long, vector binary"), least, block)
     least_id = members.groupBy("root").agg(F.min("first").alias("component_id"))
     found = scratch.write(members.select("cid", "root").join(scratch.write(least_id, "least"), "root").join(scratch.write(counted, "counted"), "cid"), "found")
@@ -201,5 +215,5 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, least: float = COSINE,
 
 def as_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw = pa.array([np.asarray(v, "<f4").tobytes() for v in batch["embedding"].to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch["root"], batch["blocks"], batch["cid"], batch["n"], raw], names=["root", "blocks", "cid", "n", "vector"])
+        whole = pa.array([raw(v) for v in batch["embedding"].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch["root"], batch["blocks"], batch["cid"], batch["n"], whole], names=["root", "blocks", "cid", "n", "vector"])
