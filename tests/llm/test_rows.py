@@ -172,6 +172,20 @@ def test_vectors_are_brute_force(spark, scratch):
     assert embeddings.near_duplicates(frame.limit(0), scratch).count() == 0
 
 
+def test_vectors_of_doubles_keep_them(spark, scratch):
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.20305866063400], 1), (3, [1.0, 0.20305866063401], 1)]
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), scratch).collect()}
+    close = [1 / np.hypot(1, r[1][1]) >= 0.98 for r in rows[1:]]
+    assert got == {1: sum(close), 2: 1 + close[0], 3: 1 + close[1]}
+
+
+def test_packing_does_not_depend_on_partitions(spark, scratch, docs_of):
+    found = packing.pieces(docs_of(["a b c " * (7 * k % 300) for k in range(400)]), 256)
+    found = scratch.write(found, "pieces")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(packing.pack(found.repartition(3), 2, 256)) == key(packing.pack(found.repartition(7), 2, 256))
+
+
 def test_components(spark, scratch):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(rng.randint(3000, 3200), rng.randint(3000, 3200)) for _ in range(120)] + [(7777, 7777)]

@@ -307,6 +307,16 @@ def test_toxicity_without_a_class(spark, scratch, docs_of):
         assert [round(r["score"]) for r in toxicity.score(docs, model).collect()] == [wanted, wanted]
 
 
+def test_repeated_ids_train_once(spark, scratch, docs_of):
+    docs = docs_of(["bad glumph"] * 40 + ["fine"] * 40 + [None], [1] * 40 + [2] * 40 + [None])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    toxicity.train(labels, docs, scratch, most=1)
+    assert spark.read.parquet(scratch.path("sample")).count() == 2
+    scored = toxicity.score(docs.withColumn("score", docs["doc_id"]), toxicity.train(labels, docs, scratch))
+    assert scored.columns.count("score") == 1 and scored.schema["score"].dataType.simpleString() == "double"
+    assert toxicity.score(docs.limit(0), toxicity.train(labels, docs.limit(0), scratch)).count() == 0
+
+
 def test_long_texts_give_the_same_ngrams():
     text = "".join(random.Random(1).choice("abc d") for _ in range(toxicity.PIECE * 2 + 77))
     cut = collections.Counter(int(x) for h in toxicity.ngrams(text) for x in h)
