@@ -5,9 +5,9 @@ in about 15 % of the bits. Here a text's distinct shingles give as many segments
 to lose no more than MISS of the pairs at the similarity (``tables_for``), and in each segment the
 Hamming ball is enumerated over the bits whose votes were closest to a tie, which are those that a
 small edit turns. Both sides enumerate, so two texts meet in a table if they differ in at most two
-such bits. Texts that meet and whose first 128 bits differ in at most FAR (five standard deviations
-above what the similarity gives) are candidates, however many share the entry, and the similarity
-of every candidate pair is verified on whole shingle sets.
+such bits. Texts that meet and whose first 256 bits differ in no more than DEVIATIONS standard
+deviations above what the similarity gives are candidates, however many share the entry, and the
+similarity of every candidate pair is verified on whole shingle sets.
 
 In an entry that more than CROWD texts share, each is checked against the smallest; texts that are
 then still in different groups are compared block by block on their shingle sets, and only links
@@ -17,7 +17,7 @@ that join parts not joined before leave the task.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,9 +36,11 @@ MISS = 0.0005
 LEAST_BITS = 24
 #: Share of pairs of segments differing in 0, 1 or 2 bits in which those bits are among the closest, so that the segments meet.
 TURNED = (1.0, 0.95, 0.87)
-FAR = 40
+#: Words of 64 bits of the fingerprint that entries carry, and by how many standard deviations copies' distances may exceed the mean.
+PRINT, DEVIATIONS = ("p0", "p1", "p2", "p3"), 3.5
 CROWD = 16
 BLOCK, BLOCK_BYTES = 256, 16 << 20
+COLUMNS = ", ".join(f"{c} long" for c in PRINT)
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -76,21 +78,25 @@ def table_keys(margins: np.ndarray, segments: int, bits: int, flips: int) -> np.
     return np.concatenate([values, (values[:, None] ^ (1 << close)).ravel()])
 
 
+def rate(similarity: float) -> float:
+    """Share of bits in which texts of that similarity and about equal size differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
 def tables_for(texts: int, similarity: float) -> tuple[int, int, int]:
     """Segments, bits of each and bits turned, so that an entry holds few texts by chance and MISS is the share of pairs lost at the similarity.
 
     Bits of two such texts differ at the rate that the angle between their sets has; within a
     segment up to two bits may differ, if each is among the closest of one side (TURNED, measured).
     """
-    bits = max(LEAST_BITS, math.ceil(math.log2(max(texts, 1))))
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits, differ = max(LEAST_BITS, math.ceil(math.log2(max(texts, 1)))), rate(similarity)
     meet = sum(math.comb(bits, d) * differ**d * (1 - differ) ** (bits - d) * TURNED[d] for d in range(3))
     return max(1, math.ceil(math.log(MISS) / math.log(1 - meet))), bits, bits // 4
 
 
 def prints(docs: DataFrame, size: int, shape: tuple[int, int, int]) -> DataFrame:
-    """doc_id, text_hash, cid (of the set of shingles), and the set's fingerprint (low, high) and table keys (bytes)."""
-    words = max(2, -(-shape[0] * shape[1] // 64))
+    """doc_id, text_hash, cid (of the set of shingles), and the set's fingerprint (PRINT) and table keys (bytes)."""
+    words = max(len(PRINT), -(-shape[0] * shape[1] // 64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,17 +105,17 @@ def prints(docs: DataFrame, size: int, shape: tuple[int, int, int]) -> DataFrame
                 for text in part["text"].to_pylist():
                     found = shingles(text, size)
                     margins = votes(found, words)
-                    low, high = np.packbits(margins[:128] > 0, bitorder="little").view("<i8").tolist()
-                    rows.append((xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63), low, high, table_keys(margins, *shape).astype("<i8").tobytes()))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_hash"], *[pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]],
-                                                 names=["doc_id", "text_hash", "cid", "low", "high", "keys"])
+                    own = np.packbits(margins[: 64 * len(PRINT)] > 0, bitorder="little").view("<i8").tolist()
+                    rows.append((xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63), *own, table_keys(margins, *shape).astype("<i8").tobytes()))
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["text_hash"], *[pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), *[pa.int64()] * len(PRINT), pa.binary()))]],
+                                                 names=["doc_id", "text_hash", "cid", *PRINT, "keys"])
 
     own = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return own.mapInArrow(run, "doc_id long, text_hash long, cid long, low long, high long, keys binary")
+    return own.mapInArrow(run, f"doc_id long, text_hash long, cid long, {COLUMNS}, keys binary")
 
 
 def entries(distinct: DataFrame) -> DataFrame:
-    """key, cid, low and high of each text in each of its table entries."""
+    """key, cid and PRINT of each text in each of its table entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,22 +123,30 @@ def entries(distinct: DataFrame) -> DataFrame:
                 part = batch.slice(at, 4096)
                 keys = np.frombuffer(b"".join(part["keys"].to_pylist()), "<i8")
                 n = len(keys) // max(1, part.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.repeat(part[c].to_numpy(), n)) for c in ("cid", "low", "high")]], names=["key", "cid", "low", "high"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.repeat(part[c].to_numpy(), n)) for c in ("cid", *PRINT)]], names=["key", "cid", *PRINT])
+
+    return distinct.select("cid", *PRINT, "keys").mapInArrow(run, f"key long, cid long, {COLUMNS}")
 
-    return distinct.select("cid", "low", "high", "keys").mapInArrow(run, "key long, cid long, low long, high long")
 
+def near_prints(similarity: float) -> Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray]:
+    """Says of fingerprints (PRINT) whether they are as near as those of texts of the similarity."""
+    bits, differ = 64 * len(PRINT), rate(similarity)
+    most = bits * differ + DEVIATIONS * math.sqrt(bits * differ * (1 - differ))
 
-def near_prints(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-    """Whether fingerprints (low, high) differ in at most FAR bits."""
-    return np.bitwise_count((x[0] ^ y[0]).view(np.uint64)) + np.bitwise_count((x[1] ^ y[1]).view(np.uint64)) <= FAR
+    def near(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+        return sum(np.bitwise_count((u ^ v).view(np.uint64)).astype(np.int32) for u, v in zip(x, y)) <= most
+
+    return near
 
 
 def crowded_links(members: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) among the texts of different components of each crowded entry, enough to join what they join.
 
-    ``members`` has key, cid, root, low, high and set (bytes).
+    ``members`` has key, cid, root, PRINT and set (bytes).
     """
 
+    near = near_prints(similarity)
+
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("cid", ignore_index=True)
         sets = [np.frombuffer(x, "<u8") for x in part["set"]]
@@ -149,13 +163,13 @@ def crowded_links(members: DataFrame, similarity: float) -> DataFrame:
             there[who[inside], col[inside] - at] = 1
             shared += there @ there.T
         i, j = np.nonzero(np.triu(shared >= similarity * (sizes[:, None] + sizes[None, :] - shared), 1) & (root[:, None] != root[None, :]))
-        low, high, joined = part["low"].to_numpy(), part["high"].to_numpy(), Joined()
-        fine = near_prints([low[i], high[i]], [low[j], high[j]])
+        own, joined = [part[c].to_numpy() for c in PRINT], Joined()
+        fine = near([x[i] for x in own], [x[j] for x in own])
         out = [(ids[a], ids[b]) for a, b in zip(i[fine].tolist(), j[fine].tolist()) if joined.join(ids[a], ids[b])]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     dealt = tables.in_blocks(members, F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.octet_length("set")) / BLOCK_BYTES)))
-    return dealt.select("key", "x", "y", "cid", "root", "low", "high", "set").groupBy("key", "x", "y").applyInPandas(run, "a long, b long")
+    return dealt.select("key", "x", "y", "cid", "root", *PRINT, "set").groupBy("key", "x", "y").applyInPandas(run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
@@ -196,11 +210,11 @@ def groups(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, similarity: f
     gives no rows.
     """
     found = scratch.write(prints(docs, size, tables_for(docs.count(), similarity)), "prints")
-    distinct = scratch.write(found.groupBy("cid").agg(F.min_by(F.struct("low", "high", "keys"), F.struct("doc_id", "text_hash")).alias("p"),
+    distinct = scratch.write(found.groupBy("cid").agg(F.min_by(F.struct(*PRINT, "keys"), F.struct("doc_id", "text_hash")).alias("p"),
                                                       F.min(F.struct("doc_id", "text_hash")).alias("f")).select("cid", "p.*", F.col("f.doc_id").alias("doc_id"), F.col("f.text_hash").alias("text_hash")), "distinct")
-    met = scratch.write(tables.meet(entries(distinct), entries(distinct.sample(False, tables.SAMPLE, 1)), ["low", "high"], near_prints, CROWD), "meet")
+    met = scratch.write(tables.meet(entries(distinct), entries(distinct.sample(False, tables.SAMPLE, 1)), list(PRINT), near_prints(similarity), CROWD), "meet")
     pairs = scratch.write(met.where("b is not null").select("a", "b").distinct(), "pairs")
-    crowd = met.where("key is not null").select("key", F.col("a").alias("cid"), "low", "high")
+    crowd = met.where("key is not null").select("key", F.col("a").alias("cid"), *PRINT)
     keyed = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("cid")).union(crowd.select("cid")).distinct()
     needed = scratch.write(needed.join(distinct.select("cid", "doc_id", "text_hash"), "cid"), "needed")
