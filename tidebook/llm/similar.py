@@ -221,9 +221,14 @@ def groups(docs: DataFrame, scratch: Scratch, size: int = SHINGLE, similarity: f
     texts = keyed.join(needed.hint("merge"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")))
     sets = scratch.write(sets_of(texts, size).dropDuplicates(["cid"]), "sets")
     crowded = not crowd.isEmpty()
-    if crowded:
-        pairs = pairs.union(tables.stars(crowd)).distinct()
-    edges = scratch.write(verified(pairs, sets, similarity), "edges")
+    if crowded:  # most of a large group of copies is joined by its stars, and pairs within it need no check
+        star = scratch.write(verified(tables.stars(crowd), sets, similarity), "stars")
+        own = components(star, scratch, "cc-stars")
+        for side in ("a", "b"):
+            pairs = pairs.join(own.select(F.col("node").alias(f"node_{side}"), F.col("root").alias(f"root_{side}")), F.col(side) == F.col(f"node_{side}"), "left")
+        pairs = pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    edges = verified(pairs, sets, similarity)
+    edges = scratch.write(edges.union(star) if crowded else edges, "edges")
     roots = components(edges, scratch)
     if crowded:
         members = scratch.write(tables.apart(crowd, roots), "apart")
