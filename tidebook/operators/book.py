@@ -42,7 +42,7 @@ def book(flat: DataFrame, top: int = MAX_LEVELS) -> DataFrame:
 
 
 def book_at(flat: DataFrame, timestamp_ns: int, top: int = MAX_LEVELS) -> DataFrame:
-    """The book as of a time: rows up to it, last by (timestamp_ns, arrival)."""
+    """The book as of a time: of the rows up to it the last of each price to arrive, as in ``book``."""
     return book(flat.where(F.col("timestamp_ns") <= timestamp_ns), top)
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebook import find_here
+from tidebook import find_here, shared_dir
 from tidebook.functions import codec, hashes
 from tidebook.functions.metrics import Metric, cumulative_levels, measure
 from tidebook.operators import book as books
@@ -167,7 +167,7 @@ add("subscribe", lambda flat: project(matching(SUBSCRIPTION, flat), parse(SUBSCR
 
 def live_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live book after one available-now run over the events table as a stream."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidebook-checkpoints").rstrip("/") + f"/live-{uuid.uuid4().hex}"
+    base = shared_dir(spark) + f"/live-{uuid.uuid4().hex}"
     path = f"{sf_dir}/event[s].parquet"  # a pattern, as a stream takes a folder or a pattern but not a file
     stream = readers.event_levels(spark.readStream.schema(events(spark, sf_dir).schema).parquet(path))
     run = live.start_live_book(stream, f"{base}/book", f"{base}/state", availableNow=True)
@@ -188,7 +188,7 @@ SQL["src_apply_delta"] = f"{BASE} SELECT {ROWS} FROM flat"
 
 
 def shared(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidebook-checkpoints").rstrip("/") + f"/tables-{uuid.uuid4().hex}"
+    return shared_dir(spark) + f"/tables-{uuid.uuid4().hex}"
 
 
 def src_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,10 +206,10 @@ CASE WHEN i % 2 = 0 THEN 6500000 - (i % 100) * 100 ELSE 6510000 + (i % 100) * 10
 QUERIES["src_bulk"] = lambda spark, sf_dir: wide(flatten(readers.bulk(spark, "BTC-USD", "SIM", "bid", 500, 6_500_000, 100)))
 SQL["src_bulk"] = """SELECT 'BTC-USD' AS symbol, 'SIM' AS exchange, CAST(0 AS BIGINT) AS timestamp_ns, CAST(1 AS BIGINT) AS sequence_number, CAST(0 AS BIGINT) AS side, i AS level,
 6500000 - i * 100 AS price, 100 + i * 10 AS quantity, CAST(1 AS BIGINT) AS order_count, CAST(0 AS BIGINT) AS arrival FROM range(500) t(i)"""
-add("sink_tsv", lambda flat: writers.tsv_lines(flat.where("symbol = 'purchase' and exchange = 'X1'")),
-    f"{BASE} SELECT concat_ws(chr(9), timestamp_ns, price, quantity, order_count, side, level) AS line FROM flat WHERE {P1}")
-add("sink_json", lambda flat: writers.json_rows(flat.where("symbol = 'purchase' and exchange = 'X1'")),
-    f"""{BASE} SELECT '{{"ts":' || timestamp_ns || ',"price":' || price || ',"qty":' || quantity || ',"cnt":' || order_count || ',"side":' || side || ',"level":' || level || '}}' AS json FROM flat WHERE {P1}""")
+add("sink_tsv", lambda flat: writers.tsv_lines(flat),
+    f"{BASE} SELECT concat_ws(chr(9), timestamp_ns, price, quantity, order_count, side, level) AS line FROM flat")
+add("sink_json", lambda flat: writers.json_rows(flat),
+    f"""{BASE} SELECT '{{"ts":' || timestamp_ns || ',"price":' || price || ',"qty":' || quantity || ',"cnt":' || order_count || ',"side":' || side || ',"level":' || level || '}}' AS json FROM flat""")
 
 PRICE_KEY = [*KEY, "side"]
 add("codec_price", lambda flat: codec.decode_prices(codec.encode_prices(flat, PRICE_KEY, "arrival"), PRICE_KEY, "arrival").select("arrival", "price", "word", "decoded"),
@@ -226,7 +226,11 @@ def codec_qty(flat: DataFrame) -> DataFrame:
 
 
 add("codec_qty", codec_qty, f"{BASE} SELECT arrival, quantity FROM flat")
-add("crc32c", lambda flat: writers.tsv_lines(flat).select("line", hashes.crc32c_column("line").alias("crc32c")))
+add("crc32c", lambda flat: writers.tsv_lines(flat).select("line", hashes.crc32c_column("line").alias("crc32c")),
+    f"""{BASE}, l AS (SELECT concat_ws(chr(9), timestamp_ns, price, quantity, order_count, side, level) AS line FROM flat),
+b AS (SELECT line, list_transform(range(1, strlen(line) + 1), lambda i: CAST(ord(substr(line, CAST(i AS INT), 1)) AS BIGINT)) AS bytes FROM l)
+SELECT line, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, x: list_reduce(list_prepend(xor(c, x), [CAST(0 AS BIGINT) FOR z IN range(8)]),
+  lambda d, z: CASE WHEN d % 2 = 1 THEN xor(d // 2, CAST(2197175160 AS BIGINT)) ELSE d // 2 END)), CAST(4294967295 AS BIGINT)) AS crc32c FROM b""")
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,10 +244,38 @@ QUERIES["manifest"] = manifest
 
 RING, SMALLER = placement.Ring(SHARDS), placement.Ring({"north": 64, "south": 64})
 USERS = lambda flat: flat.select("symbol", F.concat_ws("-", "exchange", F.col("price").cast("string")).alias("exchange"))
-add("shard_hash", lambda flat: placement.assign(USERS(flat), RING).select("symbol_key", "hash"))
-add("shard_lookup", lambda flat: placement.assign(flat, RING).select("symbol_key", "shard"))
-add("shard_assign", lambda flat: placement.assign(USERS(flat), RING).groupBy("shard").agg(F.count("*").alias("keys")))
-add("shard_reassign", lambda flat: placement.reassign(placement.assign(USERS(flat), RING).select("symbol_key", "shard"), SMALLER))
+
+
+def murmur_sql(strings: str) -> str:
+    """CTEs that end in ``hashed`` (s, h): MurmurHash3 of the distinct ASCII strings s of a table, in 32-bit steps of HUGEINT."""
+    times = lambda x, c: f"(({x}) * {c} % 4294967296)"
+    turn = lambda x, r: f"(({x}) * {1 << r} % 4294967296 + ({x}) // {1 << 32 - r})"
+    mix = lambda x: times(turn(times(x, 0xCC9E2D51), 15), 0x1B873593)
+    down = lambda x, r: f"xor({x}, {x} // {1 << r})"
+    byte = lambda at: f"CAST(coalesce(ord(nullif(substr(s, CAST({at} AS INT), 1), '')), 0) AS HUGEINT)"
+    word = " + ".join(f"{byte(f'4 * i + {k + 1}')} * {1 << 8 * k}" for k in range(4))
+    return f"""words AS (SELECT DISTINCT s, strlen(s) AS n, list_transform(range(0, strlen(s) // 4), lambda i: {word}) AS w, list_transform([strlen(s) // 4], lambda i: {word})[1] AS rest FROM {strings}),
+h0 AS (SELECT s, n, list_reduce(list_prepend(CAST(0 AS HUGEINT), w), lambda a, x: ({turn(f"xor(a, {mix('x')})", 13)} * 5 + {0xE6546B64}) % 4294967296) AS h, rest FROM words),
+h1 AS (SELECT s, xor(xor(h, {mix('rest')}), CAST(n AS HUGEINT)) AS h FROM h0), h2 AS (SELECT s, {times(down('h', 16), 0x85EBCA6B)} AS h FROM h1), h3 AS (SELECT s, {times(down('h', 13), 0xC2B2AE35)} AS h FROM h2),
+hashed AS (SELECT s, CAST({down('h', 16)} AS BIGINT) AS h FROM h3)"""
+
+
+def placed_sql(keys: str, shards: dict[str, int] = SHARDS) -> str:
+    """CTEs that end in ``placed`` (symbol_key, hash, shard) and ``ring`` (p, shard)."""
+    points = " UNION ALL ".join(f"SELECT '{x}#' || i AS s FROM range({n}) t(i)" for x, n in shards.items())
+    return f"""{BASE}, k AS (SELECT DISTINCT {keys} AS symbol_key FROM flat), points AS ({points}), strings AS (SELECT symbol_key AS s FROM k UNION ALL SELECT s FROM points), {murmur_sql("strings")},
+ring AS (SELECT h AS p, split_part(s, '#', 1) AS shard FROM points JOIN hashed USING (s)),
+placed AS (SELECT symbol_key, h AS hash, coalesce((SELECT arg_min(shard, p) FROM ring WHERE p >= h), (SELECT arg_min(shard, p) FROM ring)) AS shard FROM k JOIN hashed ON s = symbol_key)"""
+
+
+USER_KEY, BOOK_KEY = "symbol || '.' || exchange || '-' || price", "symbol || '.' || exchange"
+add("shard_hash", lambda flat: placement.assign(USERS(flat), RING).select("symbol_key", "hash"), f"{placed_sql(USER_KEY)} SELECT symbol_key, hash FROM placed")
+add("shard_lookup", lambda flat: placement.assign(flat, RING).select("symbol_key", "shard"), f"{placed_sql(BOOK_KEY)} SELECT symbol_key, shard FROM placed")
+add("shard_assign", lambda flat: placement.assign(USERS(flat), RING).groupBy("shard").agg(F.count("*").alias("keys")), f"{placed_sql(USER_KEY)} SELECT shard, count(*) AS keys FROM placed GROUP BY shard")
+add("shard_reassign", lambda flat: placement.reassign(placement.assign(USERS(flat), RING).select("symbol_key", "shard"), SMALLER),
+    f"""{placed_sql(USER_KEY)}, fewer AS (SELECT * FROM ring WHERE shard <> 'west'),
+n AS (SELECT symbol_key, shard AS old_shard, coalesce((SELECT arg_min(shard, p) FROM fewer WHERE p >= hash), (SELECT arg_min(shard, p) FROM fewer)) AS new_shard FROM placed)
+SELECT symbol_key, old_shard, new_shard FROM n WHERE old_shard <> new_shard""")
 KEYS = lambda flat: flat.select(F.concat_ws(".", "symbol", "exchange").alias("symbol_key"), "price").groupBy("symbol_key").agg(F.max("price").alias("m"))
 
 

@@ -37,12 +37,12 @@ def parallel_arrays(rows: DataFrame) -> DataFrame:
 def read_csv(spark: SparkSession, path: str, now_ns: int = 0) -> tuple[DataFrame, DataFrame]:
     """(level rows, rejected lines) of CSV files symbol,exchange,side,price,qty[,count[,timestamp_ns]] with a header.
 
-    Count is 1 and time ``now_ns`` where left out; any side but ask is bid; a line with a missing
+    The header is any line that begins symbol,exchange,side: a book named symbol is none. Count is 1 and time ``now_ns`` where left out; any side but ask is bid; a line with a missing
     or malformed field is rejected. Arrival follows file and line order.
     """
     lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("arrival"))
     part = F.transform(F.split("value", ","), lambda x: F.trim(x))
-    lines = lines.where(~F.lower("value").startswith("symbol,") & (F.trim("value") != "")).withColumn("p", part)
+    lines = lines.where(~F.lower(F.regexp_replace("value", r"\s", "")).startswith("symbol,exchange,side,") & (F.trim("value") != "")).withColumn("p", part)
     at = lambda i: F.get("p", F.lit(i))
     blank = lambda i: F.coalesce(at(i), F.lit("")) == ""
     rows = lines.select(
