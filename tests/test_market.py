@@ -9,7 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidebook.functions.codec import decode_simple8b, encode_simple8b
-from tidebook.functions.hashes import crc32c, murmur3
+from tidebook.functions.hashes import FEW, crc32c, crc32c_many, murmur3, murmur3_many
+from tidebook.functions.registry import register
 from tidebook.functions.metrics import Metric, measure
 from tidebook.operators import book as books
 from tidebook.operators import placement, storage
@@ -246,3 +247,19 @@ def test_subscription_stream(spark, sf_dir, tmp_path):
     run = start_subscription(stream, f"SUBSCRIBE * FROM {ONE} WHERE price BETWEEN 50 AND 400", lambda df, n: got.extend(r["json"] for r in df.collect()), str(tmp_path / "c"), availableNow=True)
     run.awaitTermination()
     assert len(got) == QUERIES["subscribe"](spark, sf_dir).count() and got[0].startswith('{"ts":')
+
+
+@pytest.mark.parametrize("count", [0, 1, FEW - 1, 5 * FEW])
+def test_hashes_of_many_are_those_of_each(count):
+    rng = random.Random(count)
+    rows = [rng.randbytes(rng.choice((0, 1, 3, 4, 5, 17, 400))) for _ in range(count)]
+    assert crc32c_many(rows).tolist() == [crc32c(x) for x in rows]
+    assert murmur3_many(rows).tolist() == [murmur3(x) for x in rows]
+
+
+def test_functions_of_sql(spark):
+    ring = placement.Ring({"a": 8, "b": 8})
+    register(spark, ring)
+    one = spark.sql("""SELECT crc32c_of('123456789') AS crc, murmur3_of('abc') AS m, crc32c_of(CAST(NULL AS STRING)) AS none, shard_of('X.Y') AS shard,
+        unzigzag(zigzag(-9223372036854775807)) AS low, zigzag(-3L) AS z, simple8b_values(simple8b_words(array(1, 2, 300)), 3) AS v""").first()
+    assert (one.crc, one.m, one.none, one.shard, one.low, one.z, one.v) == (0xE3069283, 0xB3DD93FA, None, ring.lookup("X.Y"), -9223372036854775807, 5, [1, 2, 300])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import bisect
 import json
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
@@ -39,7 +39,11 @@ class Ring:
         return self.owners[bisect.bisect_left(self.points, murmur3(key.encode())) % len(self.points)]
 
     def of_hash(self, hashed: Column) -> Column:
-        """The shard of a column of hashes; the ring (a few nodes a shard) travels with the function."""
+        """The shard of a column of hashes."""
+        return self.function()(hashed)
+
+    def function(self) -> Callable[[Column], Column]:
+        """What gives the shard of a hash; the ring (a few nodes a shard) travels with it."""
         points, owners = np.array(self.points, np.int64), np.array(self.owners, object)
 
         @F.pandas_udf("string")
@@ -48,7 +52,7 @@ class Ring:
                 return pd.Series([None] * len(h), dtype=object)
             return pd.Series(owners[np.searchsorted(points, h.to_numpy(np.int64), side="left") % len(points)])
 
-        return find(hashed)
+        return find
 
 
 def assign(keys: DataFrame, ring: Ring) -> DataFrame:
