@@ -313,6 +313,37 @@ def test_image_copies_are_brute_force(spark, scratch, monkeypatch, crowd):
     assert media.copies(spark.createDataFrame([], "image_id long, content binary"), scratch).count() == 0
 
 
+def test_copies_do_not_depend_on_other_files(spark, scratch):
+    """Pairs that barely meet, alone and among files that are no pictures."""
+    rows = []
+    for seed, scale in ((7069, 0.6), (7110, 0.6), (7117, 0.65)):
+        p = media.picture(np.random.default_rng(seed).normal(size=8).astype("f4"))
+        rows += [(len(rows), media.encode_pgm(p)), (len(rows) + 1, media.encode_pgm(media.resize(p[None], scale)[0]))]
+    others = [(100 + i, b"no picture %d" % i) for i in range(2000)]
+    for more in ([], others):
+        got = media.copies(spark.createDataFrame(rows + more, "image_id long, content binary"), scratch).where("image_id < 100").collect()
+        assert {r["image_id"]: r["component_id"] for r in got} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
+@pytest.mark.parametrize("far", [0, 1])
+def test_crowded_entries_link_what_others_link(spark, scratch, monkeypatch, far):
+    """One entry of two copies whose shapes there agree or not, crowded or not."""
+    p = media.picture(np.arange(8, dtype="f4"))
+    frame = spark.createDataFrame([(1, media.encode_pgm(p)), (2, media.encode_pgm(p * 0.7 + 40))], "image_id long, content binary")
+    assert media.agree(*[media.corners(x[None])[0] for x in (p, np.floor(p * 0.7 + 40))]) >= media.INLIERS
+
+    def entries(found, tests):
+        low = found.agg(F.min("cid").alias("low"))
+        length = F.when(F.col("cid") == F.col("low"), 0).otherwise(far * 5000)  # the third of the shape's parts
+        return found.crossJoin(low).select(F.lit(7).cast("long").alias("key"), "cid", F.shiftleft(length.cast("long"), 32).alias("shape"))
+
+    monkeypatch.setattr(media, "entries", entries)
+    for crowd in (64, 1):
+        monkeypatch.setattr(media, "CROWD", crowd)
+        got = {r["image_id"]: r["component_id"] for r in media.copies(frame, scratch).collect()}
+        assert got == {1: 1, 2: 2 if far else 1}, crowd
+
+
 def test_copies_of_every_kind_are_found(spark, scratch):
     """Meeting in tables and agreeing, for each edit and sizes between the levels of the pyramid."""
     rng = np.random.default_rng(6)

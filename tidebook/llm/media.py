@@ -14,7 +14,9 @@ found.
 
 Equal files are one picture from the start. Where more than CROWD pairs share an entry, every
 picture is first checked against the entry's smallest only; what is then still apart is compared in
-blocks.
+blocks. Only candidates are checked in either way, so components are the same whichever an entry
+takes; and how tables are laid out follows from ``expected``, not from the pictures there are, so
+two pictures meet or not whatever else is in the table.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ TURNED, LONGER = 0.35, 0.25  # most by which directions (radians) and logarithms
 FAR = 26  # of all tests, for a match of two corners of a candidate pair
 INLIERS, SLACK = 7, 2.0
 CROWD, BLOCK = 64, 1024
+EXPECTED = 1 << 16  # pictures that tables are laid out for
 MOST_PIXELS = 1 << 28
 KINDS = 6
 CORNER = np.dtype([("x", "<u2"), ("y", "<u2"), ("angle", "<i2"), ("level", "u1"), ("tone", "u1"), ("bits", "u1", (TESTS // 8,))])
@@ -73,10 +76,10 @@ def chosen_tests(tables: int, bits: int) -> np.ndarray:
     return np.stack([[rng.permutation(TESTS // 2)[:bits] for _ in range(2)] for _ in range(tables)])
 
 
-def tables_for(pictures: int) -> tuple[int, int]:
-    """Tables and tests a corner that keep chance meetings few: both grow with the logarithm of the number of pictures."""
-    bits = min(TESTS // 2, 16 + math.ceil(math.log2(max(pictures, 2)) / 2))
-    return bits // 3, bits
+def tables_for(expected: int) -> tuple[int, int]:
+    """Tables and tests a corner that keep chance meetings few: both grow with the logarithm of the number of pictures expected."""
+    bits = min(TESTS // 2, 16 + math.ceil(math.log2(max(expected, 2)) / 2))
+    return bits // 2 - 2, bits
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -392,6 +395,18 @@ def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return left.join(found.select(F.col("cid").alias("b"), F.col("corners").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def stars(crowd: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of the smallest picture of each crowded entry, by its smallest shape, and others of the entry; ``crowd`` has key, cid and shape."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["a", "b"]).filter(pa.array(same_shape(batch["centre"].to_numpy(), batch["shape"].to_numpy())))
+
+    least = crowd.groupBy("key").agg(F.min(F.struct("cid", "shape")).alias("s")).select("key", F.col("s.cid").alias("a"), F.col("s.shape").alias("centre"))
+    both = crowd.join(least, "key").where("cid <> a").select("a", F.col("cid").alias("b"), "centre", "shape")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def crowded_pairs(members: DataFrame) -> DataFrame:
     """Candidate pairs of pictures of different components within crowded entries; ``members`` has key, cid, root and shape."""
     import pandas as pd
@@ -411,7 +426,7 @@ def crowded_pairs(members: DataFrame) -> DataFrame:
     return dealt.groupBy("key", "x", "y").applyInPandas(run, "a long, b long").distinct()
 
 
-def copies(images: DataFrame, scratch: Scratch) -> DataFrame:
+def copies(images: DataFrame, scratch: Scratch, expected: int = EXPECTED) -> DataFrame:
     """image_id, n_equal, component_id and kept of every row of ``images`` (image_id, content).
 
     n_equal is the number of other rows with the same file; component_id is the smallest image_id
@@ -420,18 +435,22 @@ def copies(images: DataFrame, scratch: Scratch) -> DataFrame:
     plain for corners, link with their equals only; null content links with nothing. Repeated
     image_ids give a row each; a null image_id is a component_id only where no other is, and is
     never kept. An empty table gives no rows; other columns are left out.
+
+    ``expected`` is the number of pictures that tables are laid out for: with many more, chance
+    meetings, which grow with the square of the pictures, take ever more of the time. Other
+    pictures of ``images`` do not change whether two are linked.
     """
     rows = scratch.write(features(images), "features")
     firsts = rows.where("cid is not null").groupBy("cid").agg(F.count("*").alias("n"), F.min("image_id").alias("first"), F.first("corners").alias("corners"))
     distinct = scratch.write(firsts, "distinct")
     found = distinct.select("cid", "corners").where(F.octet_length("corners") > 0)
-    tests = chosen_tests(*tables_for(distinct.count()))
+    tests = chosen_tests(*tables_for(expected))
     sample = entries(found.sample(False, tables.SAMPLE, 1), tests)
     met = scratch.write(tables.meet(entries(found, tests), sample, ["shape"], lambda x, y: same_shape(x[0], y[0]), CROWD), "meet")
     edges = verified(met.where("b is not null").select("a", "b").distinct(), found)
     crowd = met.where("key is not null").select("key", F.col("a").alias("cid"), "shape")
     crowded = not crowd.isEmpty()
-    edges = scratch.write(edges.union(verified(tables.stars(crowd), found)) if crowded else edges, "edges")
+    edges = scratch.write(edges.union(verified(stars(crowd), found)) if crowded else edges, "edges")
     roots = components(edges, scratch)
     if crowded:
         more = verified(crowded_pairs(scratch.write(tables.apart(crowd, roots), "apart")), found)
