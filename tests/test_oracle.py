@@ -50,3 +50,27 @@ def test_scan_is_pruned(spark, tmp_path, sf_dir):
     assert "segment" in text.split("PartitionFilters")[1].split("PushedFilters")[0]
     assert "IsNotNull(price)" in text and "GreaterThanOrEqual(timestamp_ns" in text
     assert "quantity" not in text.split("ReadSchema")[1]
+
+
+@pytest.fixture(scope="module")
+def crowded(tmp_path_factory):
+    """A folder of events whose sides hold up to 1500 prices, more than the 1000 of an evicting side, and DuckDB over it."""
+    path = str(tmp_path_factory.mktemp("crowded"))
+    con = duckdb.connect()
+    con.execute(f"""copy (select i as event_id, timestamp '2024-01-01' + to_minutes(i * 7) as ts, i // 2 * 3 + 1 as user_id, 'purchase' as event_type, (i * 7919 % 3000) / 4.0 as value,
+      '{{"k":' || i % 11 || '}}' as props from range(6000) t(i)) to '{path}/events.parquet' (format parquet)""")
+    con.execute(f"create view events as select * from read_parquet('{path}/events.parquet')")
+    return path, con
+
+
+#: Queries that lost levels of such sides.
+LOST_LEVELS = ("book_rank",)
+
+
+@pytest.mark.parametrize("name", LOST_LEVELS)
+def test_sides_of_many_prices(spark, crowded, name):
+    path, con = crowded
+    found = QUERIES[name](spark, path)
+    columns = sorted(found.columns)
+    wanted = con.execute(f"select {', '.join(columns)} from ({SQL[name]})").fetchall()
+    assert sorted(map(tuple, found.select(columns).collect()), key=repr) == sorted(wanted, key=repr)

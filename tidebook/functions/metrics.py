@@ -65,7 +65,7 @@ class Metric:
             # without n each side is read as deep as the bids go
             deep = F.count(F.when(F.col("side") == 0, 1))
             asks = F.coalesce(F.sum(F.when((F.col("side") == 1) & (level < n), qty)), F.lit(0).cast("long")) if n else F.aggregate(
-                F.slice(F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.struct("level", "quantity")))), F.lit(1), deep), F.lit(0).cast("long"), lambda a, x: a + x["quantity"])  # at most MAX_LEVELS levels
+                F.slice(F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.struct("level", "quantity")))), F.lit(1), deep), F.lit(0).cast("long"), lambda a, x: a + x["quantity"])  # a row each price of one side
             wide = lambda c: c.cast("decimal(20,0)")
             return quotient((wide(bids) - wide(asks)) * RATIO_SCALE, F.nullif(wide(bids) + wide(asks), F.lit(0).cast("decimal(21,0)"))), (bids + asks) == 0
         if self.function == "DEPTH":

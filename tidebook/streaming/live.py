@@ -7,7 +7,7 @@ spreads over the cluster by price; ranks and metrics are read from what it wrote
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -44,8 +44,7 @@ def live_book(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(f"{path}/at=*")
     names = ["quantity", "order_count", "timestamp_ns", "sequence_number", "arrival"]
     last = rows.groupBy(*books.SIDE, "price").agg(F.max_by(F.struct(*names), "batch").alias("r")).select(*books.SIDE, "price", "r.*")
-    rank = F.row_number().over(Window.partitionBy(*books.SIDE).orderBy(books.best_first())) - 1
-    return last.where("quantity > 0").withColumn("level", rank)
+    return last.where("quantity > 0").withColumn("level", books.rank())
 
 
 def windowed_vwap(flat: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
