@@ -54,6 +54,24 @@ def test_simhash_is_brute_force(spark, scratch, docs_of, crowded, monkeypatch):
     assert got == {i: (p, wanted[i]) for i, p in enumerate(prints)}
 
 
+@pytest.mark.parametrize("crowded", [32, 0])
+def test_simhash_broadcasts_nothing(spark, scratch, docs_of, crowded, monkeypatch):
+    """Every table grows with the documents, so none may go to the driver, however small Spark takes it for."""
+    monkeypatch.setattr(simhash.links, "__defaults__", (crowded,))
+    write, plans = scratch.write, {}
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(scratch, "write", noted)
+    texts = [" ".join(random.Random(i // 3).choices("abcdefgh", k=60)) + " q" * (i % 3) for i in range(30)]
+    out = simhash.near_duplicates(docs_of(texts), scratch)
+    plans["out"] = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plans["out"] and out.count() == 30
+    assert {n for n, p in plans.items() if "Broadcast" in p} == set()
+
+
 def test_close_fingerprints_all_meet(spark, scratch):
     """Random fingerprints with 0 to 3 bits turned, by tables and by balls."""
     rng = np.random.default_rng(4)

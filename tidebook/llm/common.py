@@ -55,15 +55,24 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds: int = 60) -> DataFrame:
+def shuffled(df: DataFrame) -> DataFrame:
+    """The table for a join that must not broadcast it, whatever size Spark takes it for.
+
+    Spark sizes a table by its compressed files, and one after an explode hardly larger, though it
+    has many times the rows: such a table is built whole in the driver's memory.
+    """
+    return df.hint("merge")
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds: int = 60, broadcast: bool = True) -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star steps.
 
     ``edges`` has LONG columns ``a`` and ``b``. Returns ``node``, ``root`` (smallest node of the
     component) for every node that has an edge to another node. Each half-step is a partial
     aggregate, written out, and an inner join that Spark may split where one node has very many
-    edges. The driver sees only one checksum a round.
+    edges. The driver sees only one checksum a round, and without ``broadcast`` no joined table either.
     """
-    spark = scratch.spark
+    spark, side = scratch.spark, (lambda df: df) if broadcast else shuffled
     cur = scratch.write(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
     mark, old = None, f"{name}-0"
@@ -71,11 +80,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", max_rounds:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-l{i}")
         # large star: every larger neighbour goes to the smallest of the neighbourhood
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(side(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = scratch.write(large.where("u <> v").distinct(), f"{name}-L{i}")
         low = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-s{i}")
         # small star: every smaller neighbour, and the node, go to the smallest
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        small = large.join(side(low), "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         small = small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
         cur = scratch.write(small, f"{name}-{i}")
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())

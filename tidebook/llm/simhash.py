@@ -7,7 +7,7 @@ one side has it unset), and full distances of what is found are verified. Where
 shared by more than CROWDED fingerprints, those fingerprints and all that look it up are linked
 exactly by another way: each names the 65 words within one bit of itself, and fingerprints that
 name the same word are within 2 bits of each other. At most 65 fingerprints can name one word, so
-no group grows with the data.
+no group grows with the data. No table is broadcast: all of them grow with the documents.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import Scratch, components
+from tidebook.llm.common import Scratch, components, shuffled
 
 SEED = 42
 CROWDED = 32
@@ -75,9 +75,12 @@ def links(distinct: DataFrame, scratch: Scratch, crowded: int = CROWDED) -> Data
     probes = probes.select(F.col("fingerprint").alias("a"), "segment", F.col("value").bitwiseOR(F.col("mask")).alias("value"), (F.col("mask") == 0).alias("same"))
     tables = rows.select(F.col("fingerprint").alias("b"), "segment", "value")
     if not many.isEmpty():
-        held = scratch.write(probes.join(many, ["segment", "value"], "left_semi").select("a").distinct(), "held")
-        tables = tables.join(many, ["segment", "value"], "left_anti")
-    found = probes.join(tables, ["segment", "value"]).where(
+        # the values that look up a crowded one: itself, or it without one of its bits
+        near = many.select("segment", "value", F.explode(masks).alias("mask")).where(F.col("value").bitwiseAND(F.col("mask")) == F.col("mask"))
+        near = near.select("segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+        held = scratch.write(rows.join(shuffled(near), ["segment", "value"], "left_semi").select(F.col("fingerprint").alias("a")).distinct(), "held")
+        tables = tables.join(shuffled(many), ["segment", "value"], "left_anti")
+    found = probes.join(shuffled(tables), ["segment", "value"]).where(
         (F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
     if many.isEmpty():
         return found
@@ -98,10 +101,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle: int = 3) -> Data
     found = scratch.write(fingerprints(docs, shingle), "fingerprints")
     distinct = scratch.write(found.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
     edges = scratch.write(links(distinct.select("fingerprint"), scratch), "edges")
-    roots = components(edges, scratch)
-    rooted = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select(
+    roots = components(edges, scratch, broadcast=False)
+    rooted = distinct.join(shuffled(roots), distinct["fingerprint"] == roots["node"], "left").select(
         "fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     rooted = scratch.write(rooted, "rooted")
     least = scratch.write(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    by_print = scratch.write(rooted.join(least, "root").select("fingerprint", "component_id"), "by-print")
-    return found.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    by_print = scratch.write(rooted.join(shuffled(least), "root").select("fingerprint", "component_id"), "by-print")
+    return found.join(shuffled(by_print), "fingerprint").select("doc_id", "fingerprint", "component_id")
