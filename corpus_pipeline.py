@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from tidebook.llm import linededup, mixing, packing, similar, toxicity
 from tidebook.llm.common import Scratch, free_names
 
+#: Most bytes of an Arrow batch that an executor builds for a Python worker. Each task holds a batch
+#: several times: in the JVM, in the stream to the worker, in the worker as Arrow and as strings.
+BATCH_BYTES = 4 << 20
+
+
+def stage_scratch(spark: SparkSession, stage: str) -> Scratch:
+    """Scratch of a stage, with Arrow batches of at most about BATCH_BYTES unless the session sets its own limit."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if limit not in spark.conf.getAll:
+        spark.conf.set(limit, BATCH_BYTES)
+    return Scratch(spark, f"stage-{stage}")
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that score below the threshold; trained on labels that are not held out.
@@ -17,7 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are toxic. Other columns may have any name; an empty table gives no rows.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    model = toxicity.train(labels, docs, Scratch(spark, "stage-toxicity"))
+    model = toxicity.train(labels, docs, stage_scratch(spark, "toxicity"))
     score = free_names(docs, "score")[0]
     return toxicity.score(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
@@ -29,7 +41,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     and text one stays if they have the words of a run, else all. Other columns may have any name.
     """
     name = free_names(docs, "removed")[0]
-    found = linededup.deduplicate(docs, Scratch(spark, "stage-lines"), name=name)
+    found = linededup.deduplicate(docs, stage_scratch(spark, "lines"), name=name)
     changed = F.size(name) > 0
     return found.where(~changed | (F.length("text") > 0)).withColumn(
         "n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
@@ -40,17 +52,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Nulls, empty texts and repeated rows as ``similar.keep_one`` says.
     """
-    return similar.keep_one(docs, Scratch(spark, "stage-similar"))
+    return similar.keep_one(docs, stage_scratch(spark, "similar"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it; nulls and repeated rows as ``mixing.apply_mix`` says."""
-    return mixing.apply_mix(docs, Scratch(spark, "stage-mix"))
+    return mixing.apply_mix(docs, stage_scratch(spark, "mix"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their sequence and offset; a null text is an empty one, each row has its own pieces."""
-    return packing.pack_documents(docs, Scratch(spark, "stage-pack"))
+    return packing.pack_documents(docs, stage_scratch(spark, "pack"))
 
 
 STAGES = [

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import io
 import random
+import shutil
 import zlib
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidebook.llm import embeddings, media, mixing, packing, tokenfile, warc
 from tidebook.llm.common import components
-from tidebook.llm.tokens import Encoder
+from tidebook.llm.tokens import Encoder, default_vocabulary
 
 TEXTS = [None, "", " ", "a  b", "don't  stop\n\nnow ", "<|endoftext|> x", "a　b ﷽", "½ ²³¹ ª\x85 \xa0c", "x" * 500, "\x1c\x1d a", "word " * 4000]
 
@@ -414,3 +415,28 @@ def test_pipeline_stages(spark, sf_dir):
         docs = out
     assert all(0 < after <= before for before, after in counts[:3])
     assert set(corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).columns) >= {"doc_id", "sequence_id", "offset"}
+
+
+def test_stages_keep_batches_small(spark):
+    """A stage lowers the session's limit on Arrow batches, and leaves one that the session set."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    session = spark.newSession()
+    corpus_pipeline.stage_scratch(session, "test")
+    assert session.conf.get(limit) == str(corpus_pipeline.BATCH_BYTES)
+    session.conf.set(limit, "1234567")
+    corpus_pipeline.stage_scratch(session, "test")
+    assert session.conf.get(limit) == "1234567"
+
+
+def test_packing_leaves_no_cache(spark, docs_of, tmp_path):
+    """A worker that has cut documents holds no pre-tokens of them when it runs other tasks."""
+    own = str(shutil.copy(default_vocabulary(), tmp_path / "own.json"))  # no other test's encoder
+    assert packing.pieces(docs_of(["one two three"] * 50).repartition(4), vocabulary=own).count() == 50
+
+    def held(batches):
+        from tidebook.llm.tokens import _encoders
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [len(_encoders[own].kept) if own in _encoders else 0] * batch.num_rows})
+
+    assert spark.range(0, 8, 1, 8).mapInArrow(held, "n long").agg({"n": "max"}).first()[0] == 0

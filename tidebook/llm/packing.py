@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm.common import Scratch
-from tidebook.llm.tokens import encoder
+from tidebook.llm.tokens import encoding
 
 CAPACITY = 2048
 #: Open sequences a packing task keeps.
@@ -74,18 +74,18 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                rows = []
-                for doc, ids in zip(part["doc_id"].to_pylist(), encode(part["text"].to_pylist())):
-                    n, start, k = len(ids) // 4, 0, 0
-                    while start < n:
-                        length = (n - start) % capacity or capacity
-                        rows.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
-                        start, k = start + length, k + 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), TYPES)], names=NAMES)
+        with encoding(vocabulary) as encode:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part = batch.slice(at, 64)
+                    rows = []
+                    for doc, ids in zip(part["doc_id"].to_pylist(), encode(part["text"].to_pylist())):
+                        n, start, k = len(ids) // 4, 0, 0
+                        while start < n:
+                            length = (n - start) % capacity or capacity
+                            rows.append((doc, k, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])))
+                            start, k = start + length, k + 1
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), TYPES)], names=NAMES)
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

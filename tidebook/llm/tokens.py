@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -87,3 +89,16 @@ def encoder(vocabulary: str | None = None) -> Encoder:
     if vocabulary not in _encoders:
         _encoders[vocabulary] = Encoder(vocabulary)
     return _encoders[vocabulary]
+
+
+@contextmanager
+def encoding(vocabulary: str | None = None) -> Iterator[Callable[[list[str | None]], list[bytes]]]:
+    """``encode`` of the worker's encoder for one task, after which its cache is emptied.
+
+    A worker lives on and runs the tasks of other stages, where the pre-tokens would only take memory.
+    """
+    own = encoder(vocabulary)
+    try:
+        yield own.encode
+    finally:
+        own.kept.clear()
