@@ -88,7 +88,7 @@ def holed(tmp_path_factory):
 
 
 #: Queries in which a null quantity took a level away, or a null price came before the best.
-LOST_TO_NULLS = ("book_at", "cumulative_levels")
+LOST_TO_NULLS = ("book_at", "cumulative_levels", "agg_multi")
 
 
 @pytest.mark.parametrize("name", LOST_TO_NULLS)
