@@ -88,7 +88,7 @@ def holed(tmp_path_factory):
 
 
 #: Queries in which a null quantity took a level away, or a null price came before the best.
-LOST_TO_NULLS = ("book_at", "cumulative_levels", "agg_multi", "execute", "at_metrics", "agg_sum", "agg_vwap", "agg_avg", "agg_depth_range", "agg_min", "agg_depth")
+LOST_TO_NULLS = ("book_at", "cumulative_levels", "agg_multi", "execute", "at_metrics", "agg_sum", "agg_vwap", "agg_avg", "agg_depth_range", "agg_min", "agg_depth", "agg_max")
 
 
 @pytest.mark.parametrize("name", LOST_TO_NULLS)
