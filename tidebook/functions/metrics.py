@@ -1,7 +1,8 @@
 """Depth metrics of a ranked book, as aggregate columns.
 
 Prices keep their unit; VWAP and mid are times 10**6, imbalance times 10**9, all truncated toward
-zero. Each metric gives a value (0 where undefined) and whether it was undefined.
+zero. Each metric gives a value (0 where undefined, or where its levels have no price) and whether it
+was undefined: had no levels to read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ class Metric:
 
     def columns(self) -> list[Column]:
         value, empty = self.value()
-        return [F.when(empty, F.lit(0).cast("long")).otherwise(value).cast("long").alias(self.column), empty.alias(f"{self.column}_empty")]
+        return [F.coalesce(F.when(~empty, value), F.lit(0)).cast("long").alias(self.column), empty.alias(f"{self.column}_empty")]
 
     def value(self) -> tuple[Column, Column]:
         own, price, qty = F.col("side") == self.side, F.col("price"), F.col("quantity")
