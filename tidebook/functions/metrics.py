@@ -42,12 +42,13 @@ class Metric:
     def value(self) -> tuple[Column, Column]:
         own, price, qty = F.col("side") == self.side, F.col("price"), F.col("quantity")
         count, level = F.count(F.when(own, 1)), F.col("level")
+        wide = lambda c: c.cast("decimal(19,0)")  # a LONG whose sum may be more than one
         bid, ask = F.max(F.when(F.col("side") == 0, price)), F.min(F.when(F.col("side") == 1, price))
         one_sided = bid.isNull() | ask.isNull()
         if self.function == "SUM":
             return F.sum(F.when(own, qty)), count == 0
         if self.function == "AVG":
-            return quotient(F.sum(F.when(own, price)), F.nullif(count, F.lit(0))), count == 0
+            return quotient(F.sum(F.when(own, wide(price))), F.nullif(count, F.lit(0))), count == 0
         if self.function == "MIN":
             return F.min(F.when(own, price)), count == 0
         if self.function == "MAX":
@@ -67,8 +68,8 @@ class Metric:
             deep = F.count(F.when(F.col("side") == 0, 1))
             asks = F.coalesce(F.sum(F.when((F.col("side") == 1) & (level < n), qty)), F.lit(0).cast("long")) if n else F.aggregate(
                 F.slice(F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.struct("level", "quantity")))), F.lit(1), deep), F.lit(0).cast("long"), lambda a, x: a + x["quantity"])  # a row each price of one side
-            wide = lambda c: c.cast("decimal(20,0)")
-            return quotient((wide(bids) - wide(asks)) * RATIO_SCALE, F.nullif(wide(bids) + wide(asks), F.lit(0).cast("decimal(21,0)"))), (bids + asks) == 0
+            longer = lambda c: c.cast("decimal(20,0)")
+            return quotient((longer(bids) - longer(asks)) * RATIO_SCALE, F.nullif(longer(bids) + longer(asks), F.lit(0).cast("decimal(21,0)"))), (bids + asks) == 0
         if self.function == "DEPTH":
             return F.coalesce(F.sum(F.when(own & (price == self.arguments[0]), qty)), F.lit(0).cast("long")), F.lit(False)
         if self.function == "DEPTH_RANGE":
