@@ -54,9 +54,9 @@ class Metric:
         if self.function == "MAX":
             return F.max(F.when(own, price)), count == 0
         if self.function == "VWAP":
-            total = F.coalesce(F.sum(F.when(own, qty)), F.lit(0).cast("long"))
-            worth = F.sum(F.when(own, price.cast("decimal(19,0)") * qty.cast("decimal(19,0)")))
-            return quotient(worth * PRICE_SCALE, F.nullif(total, F.lit(0).cast("long"))), total == 0
+            total = F.coalesce(F.sum(F.when(own, wide(qty))), F.lit(0))
+            worth = F.sum(F.when(own, wide(price) * wide(qty)))
+            return quotient(worth * PRICE_SCALE, F.nullif(total, F.lit(0))), total == 0
         if self.function == "SPREAD":
             return ask - bid, one_sided
         if self.function == "MID_PRICE":
