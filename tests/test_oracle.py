@@ -106,9 +106,11 @@ ODD = {
     "no_price": PLAIN | {"value": "case when (i % 2 = 0) = (i < 202) then null else i // 2 % 20 * 0.75 + 10 end"},  # bids of one book, asks of the other
     "great_prices": PLAIN | {"value": "(i // 2 % 60 + 1) * 14e14"},  # their sums pass 2**63
     "great_quantities": PLAIN | {"k": "(i % 11 + 1) * 500000000000000000"},
+    "large_quantities": PLAIN | {"k": "case when i % 2 = 0 then 3 else 9 end * 100000000000000000 + i % 11"},  # only bids and asks together pass 2**63
+    "before_zero": PLAIN | {"id": "i - 100"},  # the remainder of a negative id is -1, neither side
 }
 #: Queries that differed from their SQL on such events.
-LOST_TO_ODD = [("agg_max", "no_price"), ("agg_min", "no_price"), ("agg_avg", "no_price"), ("agg_avg", "great_prices"), ("agg_vwap", "no_price"), ("agg_vwap", "great_quantities")]
+LOST_TO_ODD = [("agg_max", "no_price"), ("agg_min", "no_price"), ("agg_avg", "no_price"), ("agg_avg", "great_prices"), ("agg_vwap", "no_price"), ("agg_vwap", "great_quantities"), ("agg_multi", "no_price"), ("agg_multi", "large_quantities"), ("agg_multi", "before_zero")]
 
 
 @pytest.mark.parametrize("name, kind", LOST_TO_ODD)

@@ -63,13 +63,14 @@ class Metric:
             return quotient((ask + bid) * PRICE_SCALE, F.lit(2)), one_sided
         if self.function == "IMBALANCE":
             n = self.arguments[0] if self.arguments and self.arguments[0] > 0 else None
-            bids = F.coalesce(F.sum(F.when((F.col("side") == 0) & (level < n if n else F.lit(True)), qty)), F.lit(0).cast("long"))
+            near = level < n if n else F.lit(True)
+            bids = F.coalesce(F.sum(F.when((F.col("side") == 0) & near, wide(qty))), F.lit(0))
             # without n each side is read as deep as the bids go
             deep = F.count(F.when(F.col("side") == 0, 1))
-            asks = F.coalesce(F.sum(F.when((F.col("side") == 1) & (level < n), qty)), F.lit(0).cast("long")) if n else F.aggregate(
-                F.slice(F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.struct("level", "quantity")))), F.lit(1), deep), F.lit(0).cast("long"), lambda a, x: a + x["quantity"])  # a row each price of one side
-            longer = lambda c: c.cast("decimal(20,0)")
-            return quotient((longer(bids) - longer(asks)) * RATIO_SCALE, F.nullif(longer(bids) + longer(asks), F.lit(0).cast("decimal(21,0)"))), (bids + asks) == 0
+            asks = F.coalesce(F.sum(F.when((F.col("side") == 1) & near, wide(qty))), F.lit(0)) if n else F.aggregate(
+                F.slice(F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.struct("level", "quantity")))), F.lit(1), deep), F.lit(0).cast("decimal(29,0)"), lambda a, x: (a + x["quantity"]).cast("decimal(29,0)"))  # a row each price of one side
+            both = F.coalesce(F.sum(F.when(near, wide(qty))), F.lit(0)) if n else bids + asks  # a row of neither side counts here
+            return quotient((bids - asks).cast("decimal(28,0)") * RATIO_SCALE, F.nullif(both, F.lit(0))), both == 0
         if self.function == "DEPTH":
             return F.coalesce(F.sum(F.when(own & (price == self.arguments[0]), qty)), F.lit(0).cast("long")), F.lit(False)
         if self.function == "DEPTH_RANGE":
