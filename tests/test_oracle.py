@@ -110,7 +110,7 @@ ODD = {
     "before_zero": PLAIN | {"id": "i - 100"},  # the remainder of a negative id is -1, neither side
 }
 #: Queries that differed from their SQL on such events.
-LOST_TO_ODD = [("agg_max", "no_price"), ("agg_min", "no_price"), ("agg_avg", "no_price"), ("agg_avg", "great_prices"), ("agg_vwap", "no_price"), ("agg_vwap", "great_quantities"), ("agg_multi", "no_price"), ("agg_multi", "large_quantities"), ("agg_multi", "before_zero")]
+LOST_TO_ODD = [("agg_max", "no_price"), ("agg_min", "no_price"), ("agg_avg", "no_price"), ("agg_avg", "great_prices"), ("agg_vwap", "no_price"), ("agg_vwap", "great_quantities"), ("agg_multi", "no_price"), ("agg_multi", "large_quantities"), ("agg_multi", "before_zero"), ("execute", "no_price"), ("execute", "large_quantities"), ("execute", "before_zero")]
 
 
 @pytest.mark.parametrize("name, kind", LOST_TO_ODD)
