@@ -12,10 +12,15 @@ from tidebook.schema import COLUMNS, DELTA, LONG_MAX, MAX_LEVELS, TidebookError
 
 
 def event_levels(events: DataFrame) -> DataFrame:
-    """The events table as one-level deltas: event type and user as key, value as price, props.k as quantity."""
+    """The events table as one-level deltas: event type and user as key, value as price, props.k as quantity.
+
+    A time with a zone counts as the instant that it is, one without as UTC, whatever the session's zone.
+    """
+    zoned = dict(events.dtypes)["ts"] == "timestamp"
+    micros = F.unix_micros("ts") if zoned else F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
     return events.select(
         F.col("event_type").alias("symbol"), F.concat(F.lit("X"), F.col("user_id") % 3).alias("exchange"),
-        F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) * 1000").alias("timestamp_ns"),
+        (micros * 1000).alias("timestamp_ns"),
         F.col("event_id").alias("sequence_number"), (F.col("event_id") % 2).cast("int").alias("side"), F.lit(0).alias("level"),
         F.expr("cast(round(value * 100) as bigint) div 25").alias("price"), F.get_json_object("props", "$.k").cast("long").alias("quantity"),
         (F.col("user_id") % 5 + 1).alias("order_count"), F.col("event_id").alias("arrival"))
