@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.schema import COLUMNS, DELTA, LONG_MAX, MAX_LEVELS, TidebookError
 
 
+def whole(text: Column) -> Column:
+    """The number that a text holds as LONG; a fraction is rounded, halves away from zero."""
+    return F.coalesce(text.try_cast("long"), F.round(text.cast("decimal(38,18)")).cast("long"))
+
+
 def event_levels(events: DataFrame) -> DataFrame:
     """The events table as one-level deltas: event type and user as key, value as price, props.k as quantity.
 
@@ -22,7 +27,7 @@ def event_levels(events: DataFrame) -> DataFrame:
         F.col("event_type").alias("symbol"), F.concat(F.lit("X"), F.col("user_id") % 3).alias("exchange"),
         (micros * 1000).alias("timestamp_ns"),
         F.col("event_id").alias("sequence_number"), (F.col("event_id") % 2).cast("int").alias("side"), F.lit(0).alias("level"),
-        F.expr("cast(round(value * 100) as bigint) div 25").alias("price"), F.get_json_object("props", "$.k").cast("long").alias("quantity"),
+        F.expr("cast(round(value * 100) as bigint) div 25").alias("price"), whole(F.get_json_object("props", "$.k")).alias("quantity"),
         (F.col("user_id") % 5 + 1).alias("order_count"), F.col("event_id").alias("arrival"))
 
 
