@@ -6,6 +6,7 @@ import collections
 import hashlib
 import io
 import random
+import re
 import shutil
 import zlib
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidebook.llm import embeddings, media, mixing, packing, tokenfile, warc
 from tidebook.llm.common import components
-from tidebook.llm.tokens import Encoder, default_vocabulary
+from tidebook.llm.tokens import LETTERS, NUMBERS, SPACES, Encoder, default_vocabulary, portions, pre_tokens
 
 TEXTS = [None, "", " ", "a  b", "don't  stop\n\nnow ", "<|endoftext|> x", "a　b ﷽", "½ ²³¹ ª\x85 \xa0c", "x" * 500, "\x1c\x1d a", "word " * 4000]
 
@@ -41,6 +42,56 @@ def test_edge_texts_encode(encoder):
     assert encoder.encode(TEXTS) == [encoder.direct(t or "") + b"\0\0\0\0" for t in TEXTS]
 
 
+PRE_TOKEN = re.compile(
+    rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+
+
+@given(st.lists(st.text(alphabet=" \n\t'strevlmdaÉ1½.\xa0", max_size=12), min_size=1, max_size=4))
+@settings(max_examples=500, deadline=None)
+def test_pre_tokens_are_the_patterns(texts):
+    whole = "".join(texts)
+    starts = pre_tokens(np.frombuffer(whole.encode("utf-16-le"), "<u2"), np.cumsum([len(t) for t in texts])).tolist()
+    assert [whole[a:b] for a, b in zip(starts, starts[1:])] == [w for t in texts for w in PRE_TOKEN.findall(t)]
+
+
+def test_a_call_asks_its_cache_once_a_word():
+    """However often a word stands in the texts, one search of the great cache serves them all."""
+    asked = []
+
+    class Asked(dict):
+        def get(self, word, default=None):
+            asked.append(word)
+            return super().get(word, default)
+
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    own = Encoder()
+    texts = ["one two one three " * 300, None, "two one" * 100, "", " three"]
+    own.kept = Asked()
+    assert own.encode(texts) == [own.direct(t or "") + b"\0\0\0\0" for t in texts]
+    assert len(asked) <= len({w for t in texts for w in PRE_TOKEN.findall(t or "")})
+
+
+def test_a_cache_too_small_changes_no_ids(encoder):
+    texts = [" ".join(f"w{i * k}" for i in range(50)) for k in range(9)]
+    own = Encoder(capacity=7)
+    for _ in range(2):
+        assert own.encode(texts) == encoder.encode(texts)
+        assert [own.encode([t])[0] for t in texts] == encoder.encode(texts)
+
+
+def test_portions_have_all_rows():
+    texts = [None, "", "ab", "é" * 3, "x" * 50, None, "y", "z" * 9, "z" * 8, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(10), "text": pa.array(texts)}).slice(1)
+    for most in (1, 8, 9, 1000):
+        parts = list(portions(batch, most))
+        assert [t for part in parts for t in part["text"].to_pylist()] == texts[1:]
+        assert all(part.num_rows == 1 or sum(len((t or "").encode()) for t in part["text"].to_pylist()) <= most for part in parts)
+    assert len(parts) == 1 and not list(portions(batch.slice(9)))
+
+
 @given(st.lists(st.integers(0, (1 << 32) - 1), min_size=1, max_size=400))
 @settings(max_examples=80, deadline=None)
 def test_block_round_trip(ids):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm.common import Scratch
-from tidebook.llm.tokens import encoding
+from tidebook.llm.tokens import encoding, portions
 
 CAPACITY = 2048
 #: Open sequences a packing task keeps.
@@ -76,8 +76,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with encoding(vocabulary) as encode:
             for batch in batches:
-                for at in range(0, batch.num_rows, 64):
-                    part = batch.slice(at, 64)
+                for part in portions(batch):
                     rows = []
                     for doc, ids in zip(part["doc_id"].to_pylist(), encode(part["text"].to_pylist())):
                         n, start, k = len(ids) // 4, 0, 0

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm.common import Scratch
-from tidebook.llm.tokens import encoder
+from tidebook.llm.tokens import encoder, portions
 
 MAGIC = b"TIDEPFOR"
 BLOCK = 4096
@@ -155,8 +155,7 @@ def write_shards(docs: DataFrame, scratch: Scratch, name: str = "shards", vocabu
         store, at = fs.FileSystem.from_uri(root)
         path, writer = f"{at}/{shard:08d}-{uuid.uuid4().hex}.pfor", None
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
+            for part in portions(batch):
                 if writer is None:
                     store.create_dir(at, recursive=True)
                     out = store.open_output_stream(path, compression=None)

@@ -4,21 +4,63 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = b"\0\0\0\0"
 
-# The public pre-token pattern of byte-level BPE, written out for the characters
-# that PLAIN allows; texts with any other character go to the tokenizer whole.
+#: Bytes of text that are cut at once: one word met many times in them is looked up once.
+PORTION = 1 << 22
+
+# The classes of the public pre-token pattern of byte-level BPE, written out for the
+# characters that PLAIN allows; texts with any other character go to the tokenizer whole.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 NUMBERS = "0-9²³¹¼½¾"
 SPACES = r"\t-\r \x85\xa0"
-PRE_TOKEN = re.compile(
-    rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 NOT_PLAIN = re.compile(r"[^\t-\r -~\xa0-ɏ]")
+OTHER, LETTER, NUMBER, SPACE = range(4)
+KIND = np.array([next((k for k, p in enumerate((LETTERS, NUMBERS, SPACES), 1) if re.match(f"[{p}]", chr(c))), OTHER) for c in range(0x250)], np.uint8)
+
+
+def pre_tokens(chars: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where each pre-token starts in plain texts set end to end, and where the last ends.
+
+    ``chars`` are code points, ``ends`` the place after each text. The pattern, in the classes above:
+    '(s|t|m|d|re|ve|ll) or ␣?LETTERS or ␣?NUMBERS or ␣?OTHER or SPACES(?!not a space) or SPACES.
+    """
+    n, kind = len(chars), KIND[chars]
+    first = np.zeros(n + 1, bool)  # of a text
+    first[0] = first[ends] = True
+    start = first.copy()
+    start[1:n] |= kind[1:] != kind[:-1]
+    after = np.flatnonzero(start[1:n] & ~first[1:n] & (kind[:-1] == SPACE)) + 1  # runs that follow white space
+    start[after[chars[after - 1] == ord(" ")]] = False
+    start[after - 1] = True  # its last character leads the run if it is a blank, else stands alone
+    mark = np.flatnonzero((chars == ord("'")) & start[:n])
+    mark = mark[~first[mark + 1]]
+    one = mark[np.isin(chars[mark + 1], [*map(ord, "stmd")])]
+    mark = mark[mark + 2 < n]
+    mark = mark[~first[mark + 2]]
+    pair = chars[mark + 1].astype("u4") << 16 | chars[mark + 2]
+    two = mark[np.isin(pair, [ord(x) << 16 | ord(y) for x, y in ("re", "ve", "ll")])]
+    start[one + 1] = start[two + 1] = False
+    start[one + 2] = start[two + 3] = True
+    return np.flatnonzero(start)
+
+
+def portions(batch: pa.RecordBatch, most: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """All rows in their order, so many at once as have ``most`` bytes of text together, or one."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
 
 
 def byte_letters() -> dict[int, str]:
@@ -39,9 +81,9 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     Texts are cut into pre-tokens and the ids of each are kept, so the tokenizer's BPE model runs
-    about once for each distinct pre-token. ``capacity`` bounds the cache; when it is full it is
-    emptied, which costs time and changes no result. Special tokens' strings in a text are
-    ordinary text.
+    about once for each distinct pre-token, and one call asks the cache once for each. ``capacity``
+    bounds the cache; when it is full it is emptied, which costs time and changes no result. Special
+    tokens' strings in a text are ordinary text.
     """
 
     def __init__(self, vocabulary: str | None = None, capacity: int = 1_000_000, longest: int = 40):
@@ -58,27 +100,48 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One bytes object a text, ending with id 0; a null text counts as empty."""
-        kept, model, letters = self.kept, self.tokenizer.model, self.letters
-        out = []
-        for t in texts:
-            if t is None or NOT_PLAIN.search(t):
-                out.append(self.direct(t or "") + END_ID)
-                continue
-            words = PRE_TOKEN.findall(t)
-            for w in set(words).difference(kept):
-                if len(kept) >= self.capacity:
-                    kept.clear()
-                    kept |= {x: self.word(x, model, letters) for x in set(words)}
-                    break
-                kept[w] = self.word(w, model, letters)
-            out.append(b"".join(map(kept.__getitem__, words)) + END_ID)
+        plain = [t is None or not NOT_PLAIN.search(t) for t in texts]
+        found = self.plain([t or "" for t, p in zip(texts, plain) if p])
+        return [(next(found) if p else self.direct(t)) + END_ID for t, p in zip(texts, plain)]
+
+    def plain(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each of some plain texts."""
+        data = "".join(texts).encode("utf-16-le")
+        if not data:
+            yield from [b""] * len(texts)
+            return
+        ends = np.cumsum([len(t) for t in texts])
+        starts = pre_tokens(np.frombuffer(data, "<u2"), ends)
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(2 * starts), pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(self.words(words.dictionary), pa.large_binary()).take(words.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[np.searchsorted(starts, ends)].tolist()
+        held = memoryview(ids.buffers()[2])
+        for low, high in zip([0, *at], at):
+            yield bytes(held[low:high])
+
+    def words(self, distinct: pa.LargeBinaryArray) -> list[bytes]:
+        """Ids of distinct pre-tokens, given in UTF-16."""
+        kept, (_, ends, data) = self.kept, distinct.buffers()
+        at, data = np.frombuffer(ends, np.int64, len(distinct) + 1).tolist(), bytes(data)
+        words = [data[low:high] for low, high in zip(at, at[1:])]
+        out = list(map(kept.get, words))
+        new = [k for k, ids in enumerate(out) if ids is None]
+        if len(kept) + len(new) > self.capacity:
+            kept.clear()
+        model = self.tokenizer.model
+        for k in new:
+            out[k] = kept[words[k]] = self.word(words[k].decode("utf-16-le"), model)
         return out
 
-    def word(self, word: str, model, letters: dict[int, str]) -> bytes:
+    def word(self, word: str, model) -> bytes:
         if len(word) > self.longest:
             return self.direct(word)
-        seen = word.encode().decode("latin-1").translate(letters)
-        return np.array([x.id for x in model.tokenize(seen)], "<u4").tobytes()
+        if word.isascii() and word.isprintable():
+            seen = word.replace(" ", self.letters[32])
+        else:
+            seen = word.encode().decode("latin-1").translate(self.letters)
+        ids = [x.id for x in model.tokenize(seen)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _encoders: dict[str | None, Encoder] = {}
